@@ -98,11 +98,12 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, wit
     """The pieces of every document: all but the last are `capacity` long; `ids` (unsigned 32-bit, or 16-bit where
     the vocabulary allows) is null unless asked for. No shuffle. The tokenizer is read on the driver."""
     with open(tokenizer_file, encoding="utf-8") as f:
-        json = f.read()
+        tokenizer = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache()
-        encoder = cache.get(f"bpe {len(json)}") or cache.setdefault(f"bpe {len(json)}", Encoder(json=json))
+        key = f"bpe {zlib.crc32(tokenizer.encode())}"
+        encoder = cache[key] if key in cache else cache.setdefault(key, Encoder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         small = encoder.tokenizer.get_vocab_size() <= 1 << 16
         for batch in text_batches(batches):

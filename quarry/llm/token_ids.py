@@ -7,6 +7,9 @@ the library, so the ids are always the library's."""
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 import regex
 
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -17,21 +20,19 @@ STABLE = regex.compile(r"[\u0000-ɏ‐-‧‰-⁞€]*")
 class Encoder(dict):
     """pre-token -> its ids as bytes; emptied when it holds too many."""
 
-    def __init__(self, file: str | None = None, json: str | None = None, most: int = 600_000):
+    def __init__(self, json_text: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(file) if file else Tokenizer.from_str(json)
+        self.tokenizer = Tokenizer.from_str(json_text)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most = most
+        self.most, self.single = most, _by_rank(json.loads(json_text)["model"])
 
     def whole(self, text: str) -> bytes:
-        import numpy as np
-
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
+        ids = np.array(self.single(piece), "<u4").tobytes() if self.single else self.whole(piece)
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.clear()
@@ -40,6 +41,25 @@ class Encoder(dict):
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit numbers."""
-        if not STABLE.fullmatch(text) or any(s in text for s in self.special):
+        if (not text.isascii() and not STABLE.fullmatch(text)) or any(s in text for s in self.special):
             return self.whole(text)
         return b"".join(map(self.__getitem__, PATTERN.findall(text)))
+
+
+def _by_rank(model: dict):
+    """A faster encoder of single pre-tokens, by the vocabulary as ranks; None unless merges are in the order of their
+    ids, which makes both ways of merging the same."""
+    import tiktoken
+
+    vocabulary = model["vocab"]
+    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged) or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    # Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    known = set(merged)
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if all(c in letters for c in token) and (len(token) == 1 or i in known)}
+    if len(ranks) != 256 + len(merged):
+        return None
+    return tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
