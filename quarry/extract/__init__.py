@@ -65,8 +65,8 @@ def field_row(name: str, type_: str, optional: bool = False) -> dict:
 
 def extract(path: str, language: str, text: str, framework: str = "generic") -> list[dict]:
     """The facts of one text; an `error` row where it cannot be parsed."""
-    from . import dotnet, go_rust, jvm, php_ruby, py, web  # noqa: F401  registers
-
+    if not EXTRACTORS:
+        register()
     source = Source(path, language, text, framework)
     try:
         if language in EXTRACTORS:
@@ -76,8 +76,14 @@ def extract(path: str, language: str, text: str, framework: str = "generic") ->
     return source.rows
 
 
+def register() -> None:
+    """Load the languages. Done on the driver, so that executors get the full registry with the function."""
+    from . import dotnet, go_rust, jvm, php_ruby, py, web  # noqa: F401
+
+
 def facts(files: DataFrame, framework: str = "generic") -> DataFrame:
     """All facts of files (file_path, language, text); filter by kind, or use relation()."""
+    register()
     schema = to_arrow_schema(_parse_datatype_string(schemas.FACTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
