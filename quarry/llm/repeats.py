@@ -9,7 +9,7 @@ puts equal contexts side by side as a suffix array does.
 
 RepeatIndex.add() samples a batch, sorts it together with the existing levels in one shuffle and merge-scans the
 result: of equal contexts the earliest stays and the others are marked as repeats, and contexts that share a
-k-mer but are not equal become candidates, whose windows a last pass compares one by one. Levels of equal size then
+k-mer but are not equal become candidates, which are compared in blocks of windows and then window by window. Levels of equal size then
 merge geometrically, as in a binary counter; others are scanned and not rewritten. Copies inside a task are
 found before the shuffle, so a passage in a third of all rows sends one entry from each task.
 
@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +60,9 @@ class Hashes:
 
 
 def sample(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(document index, first window start in it, windows - 1, g, c) of each run of windows that share a sample."""
+    """(document index, first window start in it, sample's distance, windows - 1, g, c) of each run that shares a sample."""
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     hashes = Hashes(data, 1)
     kmers = hashes.all(k)
     # The smallest hash, then the leftmost position, in one number: its sliding minimum by doubling.
@@ -86,7 +85,7 @@ def sample(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[
     at = anchor[first]
     c = mix(hashes.at(first, length) * np.uint64(0xD6E8FEB86659FD93) + hashes.at(last, length) * np.uint64(0xA0761D6478BD642F) + (at - first).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + (last - first).astype(np.uint64))
     doc = np.searchsorted(offsets, first, "right") - 1
-    return doc, first - offsets[doc], last - first, kmers[at], c
+    return doc, first - offsets[doc], at - first, last - first, kmers[at], c
 
 
 def emit(doc_id: np.ndarray, packed: np.ndarray, g: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -174,8 +173,8 @@ class RepeatIndex:
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in text_batches(batches, 6 << 20):
-                doc, first, more, g, c = sample(*strings(batch.column("text")), length, k)
-                yield from emit(batch.column("doc_id").to_numpy()[doc], first << 8 | more, g, c)
+                doc, first, lead, more, g, c = sample(*strings(batch.column("text")), length, k)
+                yield from emit(batch.column("doc_id").to_numpy()[doc], pack(first, lead, more), g, c)
 
         rank = 0
         while rank in self.levels:
@@ -193,29 +192,78 @@ class RepeatIndex:
         self.steps.append(path)
 
     def marks(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, packed) of all repeated runs of windows in the batches so far; docs are their rows."""
+        """(doc_id, packed) of all repeated runs of windows in the batches so far; docs are their rows.
+
+        Candidates are compared in blocks of windows first, and window by window where blocks differ in part."""
+        found, near = (self._union(self.steps, kind) for kind in (MARK, CANDIDATE))
+        for name, split in (("blocks", blocks), ("windows", single)):
+            path = f"{self.folder}/{name}"
+            self._refine(docs, near, split).write.partitionBy("kind").parquet(path)
+            found, near = found.unionByName(self._table(path, MARK)), self._table(path, CANDIDATE)
+            release(self.spark)
+        return found.select("doc_id", "packed")
+
+    def drop_levels(self) -> None:
+        """Delete the entries, when no more batches will come; marks and candidates stay."""
+        for path in self.levels.values():
+            remove(self.spark, f"{path}/kind={ENTRY}")
+        self.levels.clear()
+
+    def _union(self, paths: list[str], kind: int) -> DataFrame:
+        out = self._table(paths[0], kind)
+        for path in paths[1:]:
+            out = out.unionByName(self._table(path, kind))
+        return out
+
+    def _refine(self, docs: DataFrame, near: DataFrame, split) -> DataFrame:
+        """A merge-scan over what `split` makes of the candidates' runs, from their documents' texts."""
         length = self.length
-        found = self._table(self.steps[0], MARK)
-        near = self._table(self.steps[0], CANDIDATE)
-        for path in self.steps[1:]:
-            found, near = found.unionByName(self._table(path, MARK)), near.unionByName(self._table(path, CANDIDATE))
         per_doc = near.groupBy("doc_id").agg(F.collect_set("packed").alias("runs"))  # a document's own: bounded by its text
 
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in text_batches(batches, 6 << 20):
                 data, offsets = strings(batch.column("text"))
                 runs = batch.column("runs")
-                packed, of = runs.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
-                counts = (packed & 255) + 1
-                start = np.repeat((packed >> 8) + offsets[of], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                doc = np.repeat(of, counts)
-                yield from emit(batch.column("doc_id").to_numpy()[doc], (start - offsets[doc]) << 8, Hashes(data, 2).at(start, length), Hashes(data, 3).at(start, length))
+                of = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
+                at, start, more, g, c = split(data, offsets[of], runs.flatten().to_numpy(), length)
+                lead = np.zeros(len(start), np.int64)
+                yield from emit(batch.column("doc_id").to_numpy()[of[at]], pack(start - offsets[of[at]], lead, more), g, c)
+
+        rows = only(docs, id_filter(near.select("doc_id"))).join(per_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(entries, ENTRIES)
+        return rows.repartition("g").sortWithinPartitions("kind", "g", "c", "doc_id", "packed").mapInArrow(merge_scan(frozenset()), ENTRIES)
+
+
+def pack(start: np.ndarray, lead: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """A run in one number: its first window's start, the sample's distance from it, and its windows less one."""
+    return start << 16 | lead << 8 | more
+
+
+def spread(low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, value): low[i], low[i] + 1 .. of counts[i] values each."""
+    at = np.repeat(np.arange(len(low)), counts)
+    return at, np.repeat(low, counts) + np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def blocks(data: np.ndarray, base: np.ndarray, runs: np.ndarray, length: int, step: int = 8) -> tuple[np.ndarray, ...]:
+    """(run index, start, windows - 1, g, c) of blocks of at most `step` windows, cut by their distance from the sample, so
+    equal texts are cut alike. g hashes what all windows of the block share, c the block's whole context."""
+    sample_at = base + (runs >> 16) + (runs >> 8 & 255)
+    high, more = runs >> 8 & 255, runs & 255
+    low = high - more
+    at, block = spread(low // step, high // step - low // step + 1)
+    near, far = np.maximum(block * step, low[at]), np.minimum(block * step + step - 1, high[at])
+    first, last = sample_at[at] - far, sample_at[at] - near
+    one, two = Hashes(data, 2), Hashes(data, 3)
+    salt = mix(block.astype(np.uint64) + np.uint64(1))
+    g = mix(two.at(sample_at[at] - block * step, length - step + 1) ^ salt)
+    c = mix(one.at(first, length) * np.uint64(0xD6E8FEB86659FD93) + one.at(last, length) * np.uint64(0xA0761D6478BD642F) + (near - block * step).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + (last - first).astype(np.uint64))
+    return at, first, last - first, g, c
+
 
-        texts = only(docs, id_filter(near.select("doc_id")))
-        rows = texts.join(per_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(windows, ENTRIES)
-        path = f"{self.folder}/windows"
-        rows.repartition("g").sortWithinPartitions("kind", "g", "c", "doc_id", "packed").mapInArrow(merge_scan(frozenset()), ENTRIES).where(F.col("kind") == MARK).write.partitionBy("kind").parquet(path)
-        return found.unionByName(self._table(path, MARK)).select("doc_id", "packed")
+def single(data: np.ndarray, base: np.ndarray, runs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(run index, start, 0, g, c) of each window, by two hashes of it."""
+    at, start = spread(base + (runs >> 16), (runs & 255) + 1)
+    return at, start, np.zeros(len(at), np.int64), Hashes(data, 2).at(start, length), Hashes(data, 3).at(start, length)
 
 
 def only(docs: DataFrame, bitmap: bytes) -> DataFrame:
@@ -228,34 +276,38 @@ def only(docs: DataFrame, bitmap: bytes) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", id_slot("doc_id").alias("slot")).mapInArrow(run, "doc_id long, text string")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 3, with_text: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, n_spans and kept_sha256, and with with_text the kept text, in which
-    characters cut by a span are left out. Documents arrive in `batches` batches by a hash of their id."""
+def repeat_runs(docs: DataFrame, length: int, batches: int) -> tuple[DataFrame, bytes]:
+    """(doc_id, runs) of documents with repeats, and a filter of their ids. Documents arrive in `batches` batches by a
+    hash of their id."""
     index = RepeatIndex(docs.sparkSession, length)
     for b in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
         release(docs.sparkSession)
+    index.drop_levels()
     marks = index.marks(docs)
-    release(docs.sparkSession)
-    runs = marks.groupBy("doc_id").agg(F.collect_set("packed").alias("runs"))
-    bitmap = id_filter(marks.select("doc_id"))
-    schema = RESULT + (", kept string" if with_text else "")
+    return marks.groupBy("doc_id").agg(F.collect_set("packed").alias("runs")), id_filter(marks.select("doc_id"))
+
+
+def covered(n: int, packed: np.ndarray, length: int) -> np.ndarray:
+    """Which of n bytes the runs cover."""
+    cover = np.zeros(n + 1, np.int32)
+    np.add.at(cover, packed >> 16, 1)
+    np.add.at(cover, (packed >> 16) + (packed & 255) + length, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 3) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of docs."""
+    runs, bitmap = repeat_runs(docs, length, batches)
+    names = [f.split()[0] for f in RESULT.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.string()]
 
     def finish(doc_id: int | None, text: bytes, packed: np.ndarray | None) -> tuple:
         if packed is None or not len(packed):
-            kept, removed, spans = text, 0, 0
-        else:
-            cover = np.zeros(len(text) + 1, np.int32)
-            np.add.at(cover, packed >> 8, 1)
-            np.add.at(cover, (packed >> 8) + (packed & 255) + length, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            removed, spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-        row = doc_id, len(text), removed, spans, hashlib.sha256(kept).hexdigest()
-        return (*row, kept.decode("utf-8", "ignore")) if with_text else row
-
-    names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
+            return doc_id, len(text), 0, 0, hashlib.sha256(text).hexdigest()
+        gone = covered(len(text), packed, length)
+        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        return doc_id, len(text), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()
 
     def table(rows: list[tuple]) -> dict[str, pa.Array]:
         return {n: pa.array(c, t) for n, c, t in zip(names, zip(*rows, strict=True), kinds, strict=True)}
@@ -265,9 +317,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 3, with_te
         for batch in text_batches(batches, 16 << 20):
             hit = passes(bitmap, batch.column("slot").fill_null(1)) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             texts = batch.column("text")
-            rows = [(d, 0, 0, 0, None, None)[: len(names)] if h else finish(d, t.as_buffer().to_pybytes(), None) for d, t, h in zip(batch.column("doc_id").to_pylist(), texts, hit, strict=True)]
-            held = pa.array(np.asarray(hit))
-            yield pa.RecordBatch.from_pydict(table(rows) | {"text": pa.compute.if_else(held, texts, pa.scalar(None, texts.type)), "hit": held})
+            rows = [(d, 0, 0, 0, None) if h else finish(d, t.as_buffer().to_pybytes(), None) for d, t, h in zip(batch.column("doc_id").to_pylist(), texts, hit, strict=True)]
+            going = texts.take(pa.array([i if h else None for i, h in enumerate(hit)], pa.int64()))
+            yield pa.RecordBatch.from_pydict(table(rows) | {"text": going, "hit": pa.array(np.asarray(hit))})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,13 +327,34 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 3, with_te
             texts, found = batch.column("text"), batch.column("runs")
             for i, h in enumerate(hit):
                 if h:
-                    packed = None if not found[i].is_valid else found[i].values.to_numpy()
-                    rows[i] = finish(rows[i][0], texts[i].as_buffer().to_pybytes(), packed)
+                    rows[i] = finish(rows[i][0], texts[i].as_buffer().to_pybytes(), found[i].values.to_numpy() if found[i].is_valid else None)
             if rows:
                 yield pa.RecordBatch.from_pydict(table(rows))
 
-    first = docs.select("doc_id", "text", id_slot("doc_id").alias("slot")).mapInArrow(clean, f"{schema}, text string, hit boolean")
-    return first.join(runs, "doc_id", "left").mapInArrow(cut, schema)
+    first = docs.select("doc_id", "text", id_slot("doc_id").alias("slot")).mapInArrow(clean, f"{RESULT}, text string, hit boolean")
+    return first.join(runs, "doc_id", "left").mapInArrow(cut, RESULT)
+
+
+def cut_repeats(docs: DataFrame, length: int = 100, batches: int = 3) -> DataFrame:
+    """docs with the repeats cut from their text, and n_chars to match where there is one. A character that a span cuts
+    in two goes; a text that is all repeats becomes empty, and its row stays."""
+    runs, _ = repeat_runs(docs, length, batches)
+    columns = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, run in enumerate(batch.column("_runs")):
+                if run.is_valid and texts[i] is not None:
+                    data = texts[i].encode()
+                    gone = covered(len(data), run.values.to_numpy(), length)
+                    texts[i] = np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+            at = batch.schema.get_field_index("text")
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch.select(columns)
+
+    out = docs.join(runs.withColumnRenamed("runs", "_runs"), "doc_id", "left").select(*columns, "_runs").mapInArrow(cut, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
 def release(spark: SparkSession) -> None:
