@@ -7,7 +7,7 @@ import re
 import pytest
 
 from quarry.llm.near_dups import near_duplicates
-from quarry.llm.repeats import RepeatIndex, remove_repeats
+from quarry.llm.repeats import RepeatIndex, cut_repeats, remove_repeats
 
 DOCS = "doc_id long, text string, kind string, g string"
 
@@ -94,10 +94,12 @@ def test_repeats_of_repeated_and_null_rows(spark):
     assert remove_repeats(frame(spark, rows).where("false")).count() == 0
 
 
-def test_kept_text_is_valid(spark):
+def test_cut_text_is_valid_and_keeps_columns(spark):
     text = "é" * 120
-    out = remove_repeats(frame(spark, [(1, text), (2, "a" + text)]), with_text=True).where("doc_id = 2").first()
-    assert out.n_removed > 100 and set(out.kept) <= {"a", "é"}
+    df = frame(spark, [(1, text), (2, "a" + text), (None, text), (4, None)])
+    out = {r.doc_id: r for r in cut_repeats(df).collect()}
+    assert cut_repeats(df).columns == df.columns
+    assert out[1].text == "é" and out[2].text == "a" and out[None].text == text and out[4].text is None
 
 
 def test_levels_merge_geometrically(spark):
