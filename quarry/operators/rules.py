@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import any_of, base_name, dir_name, heat_score, is_entry_point, naming_style, stem, type_root
+from ..plans.cut import cut
 from . import graph
 
 #: Names of files that gather unrelated helpers.
@@ -28,17 +30,21 @@ TYPE_KINDS = ["interface", "type", "enum"]
 
 @dataclass
 class Facts:
-    """The relations a rule may use; heat has file_path, heat, imports."""
+    """The relations a rule may use. Edges and heat (file_path, heat, imports) are cut once, because every rule needs
+    them and import resolution would run again for each."""
 
     files: DataFrame
     symbols: DataFrame
     types: DataFrame
     edges: DataFrame
 
-    @property
+    def __post_init__(self) -> None:
+        self.edges = cut(self.edges)
+
+    @cached_property
     def heat(self) -> DataFrame:
         d = graph.degrees(self.edges)
-        return d.select(F.col("node").alias("file_path"), F.col("imported_by").alias("heat"), "imports")
+        return cut(d.select(F.col("node").alias("file_path"), F.col("imported_by").alias("heat"), "imports"))
 
     @property
     def exports(self) -> DataFrame:
