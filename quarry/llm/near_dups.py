@@ -6,7 +6,7 @@ pair at Jaccard similarity s is missed with a probability of about 2 * (1 - s**2
 other document could share, because one of their halves is unique, are never formed.
 
 Documents with equal sets form a class with one representative. In each bucket representatives are first held
-against two leaders, which is linear in the bucket; what is connected so needs no more comparison. Pairs across
+against two leaders, its first and its most central document, which is linear in the bucket; what is connected so needs no more comparison. Pairs across
 components are then compared all to all in buckets of at most `most` documents. For the documents of larger
 buckets an exact prefix-filtered join takes over: shingles in order of rarity among them, pairs that share a shingle
 of their necessary prefixes, and only those across components. All links are confirmed on the full sets.
@@ -147,13 +147,15 @@ def prefix_pairs(hot: DataFrame, percent: int) -> DataFrame:
     mine = Window.partitionBy("doc_id")
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     lone = F.col("n") - F.count("*").over(mine)  # shingles of one document come first and join nothing
-    posted = shared.withColumn("at", F.row_number().over(mine.orderBy("df", "t")) + lone).where(F.col("at") <= need).select("t", "doc_id", "n", "comp")
+    posted = shared.withColumn("at", F.row_number().over(mine.orderBy("df", "t")) + lone).where(F.col("at") <= need).select("t", "doc_id", "n", "comp", "at")
     posted = materialise(posted)
     by_comp = posted.groupBy("t", "comp").agg(F.count("*").alias("k"))
     mixed = by_comp.groupBy("t").agg(F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).where("comps > 1").select("t", "main")
     # Two members of different components cannot both be in the list's main one, so its rows never meet each other.
-    odd = posted.join(mixed, "t").where("comp <> main").select("t", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    return odd.join(posted, "t").where((F.col("cx") != F.col("comp")) & alike("nx", "n", percent)).select(*ordered("x", "doc_id")).distinct()
+    odd = posted.join(mixed, "t").where("comp <> main").select("t", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("at").alias("atx"))
+    # At a pair's first common shingle, what is left of either set bounds their overlap.
+    room = (100 + percent) * (F.least(F.col("nx") - F.col("atx"), F.col("n") - F.col("at")) + 1) >= percent * (F.col("nx") + F.col("n"))
+    return odd.join(posted, "t").where((F.col("cx") != F.col("comp")) & alike("nx", "n", percent) & room).select(*ordered("x", "doc_id")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, m: int = 14, most: int = 32) -> DataFrame:
@@ -170,10 +172,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, m: int =
 
     keyed = shared_halves("a").join(shared_halves("b").drop("n"), "doc_id").select("doc_id", "n", F.struct("ia", "ib", "ka", "kb").alias("key"))
     keyed = materialise(keyed.select("doc_id", "n", F.xxhash64("key.ia", "key.ib", "key.ka", "key.kb").alias("key")))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    in_bucket = materialise(keyed.join(sizes, "key"))
+    # What lies in the middle of a group is in most of its large buckets, and so makes a good leader.
+    weight = in_bucket.where(F.col("size") > most).groupBy("doc_id").agg(F.count("*").alias("weight"))
     me = F.struct("doc_id", "n")
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(me).alias("first"), F.min_by(me, F.xxhash64("doc_id")).alias("other")).where("size > 1")
-    in_bucket = materialise(keyed.join(buckets, "key"))
-    stars = in_bucket.select("doc_id", "n", F.explode(F.array("first", "other")).alias("l")).where("doc_id <> l.doc_id").where(alike("n", "l.n", percent))
+    leaders = in_bucket.join(weight, "doc_id", "left").groupBy("key").agg(F.min(me).alias("first"), F.max_by(me, F.struct(F.coalesce("weight", F.lit(0)), F.xxhash64("doc_id"))).alias("middle"))
+    stars = in_bucket.join(leaders, "key").select("doc_id", "n", F.explode(F.array("first", "middle")).alias("l")).where("doc_id <> l.doc_id").where(alike("n", "l.n", percent))
     stars = materialise(stars.select(*ordered("doc_id", "l.doc_id")).distinct())
     sets = materialise(full_sets(docs, in_bucket.select("doc_id").distinct(), width))
     links = materialise(confirmed(stars, sets, percent))
