@@ -72,6 +72,8 @@ QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_ids, op3_sharding
 
 ORACLES: dict[str, str] = {
     "op3_sharding": "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
+    "op4_repeats": repeats.ORACLE,
+    "op5_near_dups": near_dups.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_top_k": topk.ORACLE,
     "op9_warc": warc.ORACLE,

@@ -16,11 +16,18 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_own: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        base = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder in the one that driver and executors share, spark.checkpoint.dir; only where that is unset, as in a
+    plain local session, in a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (known := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        base = known.get()
+    if not base:
+        _own[:] = _own or [f"file://{tempfile.mkdtemp(prefix='quarry-')}"]
+        base = _own[0]
     return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
