@@ -150,7 +150,8 @@ def prefix_pairs(hot: DataFrame, percent: int) -> DataFrame:
     posted = shared.withColumn("at", F.row_number().over(mine.orderBy("df", "t")) + lone).where(F.col("at") <= need).select("t", "doc_id", "n", "comp", "at")
     posted = materialise(posted)
     by_comp = posted.groupBy("t", "comp").agg(F.count("*").alias("k"))
-    mixed = by_comp.groupBy("t").agg(F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).where("comps > 1").select("t", "main")
+    # Written first, so that both sides of the next joins come from an exchange and a very common shingle can be split.
+    mixed = materialise(by_comp.groupBy("t").agg(F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).where("comps > 1").select("t", "main"))
     # Two members of different components cannot both be in the list's main one, so its rows never meet each other.
     odd = posted.join(mixed, "t").where("comp <> main").select("t", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("at").alias("atx"))
     # At a pair's first common shingle, what is left of either set bounds their overlap.
