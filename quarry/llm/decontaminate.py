@@ -13,14 +13,14 @@ empty benchmark hits nothing and an empty documents table gives no rows; other c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower
 
 #: What lies between words, in ASCII after lower-casing; all else is part of a word.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -28,9 +28,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """df, to be broadcast if it has at most `most` rows; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, few: bool) -> DataFrame:
+    """df, to be broadcast if its rows are known to be few; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if few else df
 
 
 def windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -38,39 +38,42 @@ def windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     w = benchmark.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     size = F.least(F.lit(width), F.size("w"))
     cut = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("words"))
-    cut = materialise(cut.select(F.sha2(F.array_join("words", " "), 256).alias("win"), "words", "item_id").distinct())
+    cut = cut.select(F.sha2(F.array_join("words", " "), 256).alias("win"), "words", "item_id")
     return cut.select("win", "words").distinct(), cut.select("win", "item_id").distinct()
 
 
-def hits(docs: DataFrame, wins: DataFrame, most: int) -> DataFrame:
+def hits(docs: DataFrame, wins: DataFrame, few: bool) -> DataFrame:
     """(doc_id, start, len, win): each occurrence of a window in a document."""
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
     vocabulary = wins.select(F.explode("words").alias("word")).distinct()
-    counts = texts.select(F.explode("w").alias("word")).join(small(vocabulary, most), "word", "left_semi").groupBy("word").agg(F.count("*").alias("times"))
+    counts = texts.select(F.explode("w").alias("word")).join(small(vocabulary, few), "word", "left_semi").groupBy("word").agg(F.count("*").alias("times"))
     rarity = F.coalesce("times", F.lit(0))
     tokens = wins.select("win", "words", F.posexplode("words").alias("off", "word")).join(counts, "word", "left")
-    prefix = materialise(tokens.groupBy("win").agg(F.first("words").alias("words"), F.min(F.struct(rarity.alias("times"), "off", "word")).alias("p")).select("win", "words", "p.word", "p.off"))
-    at = texts.select("doc_id", "w", F.posexplode("w").alias("pos", "word")).join(small(prefix, most), "word")
+    prefix = tokens.groupBy("win").agg(F.first("words").alias("words"), F.min(F.struct(rarity.alias("times"), "off", "word")).alias("p")).select("win", "words", "p.word", "p.off")
+    at = texts.select("doc_id", "w", F.posexplode("w").alias("pos", "word")).join(small(prefix, few), "word")
     start = F.col("pos") - F.col("off")
     inside = (start >= 0) & (start + F.size("words") <= F.size("w"))
     return at.where(inside).where(F.slice("w", start + 1, F.size("words")) == F.col("words")).select("doc_id", start.alias("start"), F.size("words").alias("len"), "win")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, most: int = 200_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of docs."""
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of docs.
+
+    Up to `most` windows of items, of `width` words each, are broadcast; beyond that the same joins are shuffled. All is
+    one plan: nothing is written on the way."""
     wins, items = windows(benchmark, width)
-    found = materialise(hits(docs, wins, most).distinct())
-    # A document's occurrences are bounded by its own words, so a window over them is too.
-    before = F.max(F.col("start") + F.col("len")).over(Window.partitionBy("doc_id").orderBy("start", "len", "win").rowsBetween(Window.unboundedPreceding, -1))
-    own = F.greatest(F.lit(0), F.col("start") + F.col("len") - F.greatest("start", F.coalesce(before, F.lit(0))))
-    hit = found.select("doc_id", own.alias("own")).groupBy("doc_id").agg(F.sum("own").alias("n_hit"))
-    names = found.select("doc_id", "win").distinct().join(items, "win").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
-    listed = names.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("list"))
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("long")
+    few = items.limit(most + 1).count() <= most  # each window has an item, so this bounds both
+    # A document's occurrences are bounded by its own words, so they may be gathered.
+    found = hits(docs, wins, few).groupBy("doc_id").agg(F.collect_set(F.struct("start", "len", "win")).alias("all"))
+    places = F.array_distinct(F.flatten(F.transform("all", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))
+    each = found.select("doc_id", F.size(places).alias("n_hit"), F.explode(F.array_distinct(F.transform("all", lambda x: x["win"]))).alias("win"))
+    named = each.join(small(items, few), "win").select("doc_id", "n_hit", F.col("item_id").cast("string").alias("item"))
+    hit = named.groupBy("doc_id").agg(F.first("n_hit").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
+    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), GAP_ANY_CASE), "")).cast("long")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (
-        docs.select("doc_id", n_words.alias("n_words")).join(hit, "doc_id", "left").join(listed, "doc_id", "left")
-        .select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("list", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+        docs.select("doc_id", n_words.alias("n_words")).join(hit, "doc_id", "left")
+        .select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
     )
 
 
