@@ -66,12 +66,52 @@ def _spread(labels: DataFrame, edges: DataFrame, steps: int = 3) -> DataFrame:
             return labels
 
 
-def scc(edges: DataFrame) -> DataFrame:
+def _scc_local(edges: list[tuple]) -> list[tuple]:
+    """(node, component) of components of two nodes or more: two depth-first passes without recursion."""
+    out: dict = {}
+    back: dict = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    order, seen = [], set()
+    for root in out:
+        stack = [(root, iter(out[root]))] if root not in seen else []
+        seen.add(root)
+        while stack:
+            node, rest = stack[-1]
+            nxt = next((n for n in rest if n not in seen), None)
+            if nxt is None:
+                order.append(node)
+                stack.pop()
+            else:
+                seen.add(nxt)
+                stack.append((nxt, iter(out.get(nxt, ()))))
+    rows, done = [], set()
+    for root in reversed(order):
+        group, todo = [], [root]
+        while todo:
+            n = todo.pop()
+            if n not in done:
+                done.add(n)
+                group.append(n)
+                todo += back.get(n, ())
+        if len(group) > 1:
+            first = min(group)
+            rows += [(n, first) for n in group]
+    return rows
+
+
+def scc(edges: DataFrame, few: int = 100_000) -> DataFrame:
     """node, component: strongly connected components of two nodes or more, named by their smallest node.
 
+    Up to `few` edges, a bound on what reaches the driver, are solved there; more are solved by joins, with the same result.
     Each round trims nodes that have no way in or out, colours the rest by the smallest node that reaches them,
     and takes for each colour the nodes that reach the node of that name inside it. Iterative, no recursion and no collect."""
     left = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    head = left.limit(few + 1).collect()
+    if len(head) <= few:
+        node, _ = left.schema.fields
+        return edges.sparkSession.createDataFrame(_scc_local([tuple(e) for e in head]), f"node {node.dataType.simpleString()}, component {node.dataType.simpleString()}")
     found = None
     while n := left.count():
         while n:  # trim, until a pass takes little; what is left of the leaves costs time, not correctness
