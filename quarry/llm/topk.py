@@ -69,14 +69,15 @@ def by_score() -> WindowSpec:
     return Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, pivots: int = 64, block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, pivots: int = 512, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id and score of the k best vectors of each row for which `queries` holds.
 
-    At most `pivots` pivots and their summaries reach the driver; a task holds at most about `block` vectors and
+    A quarter of the root of the number of vectors, `pivots` at most, become pivots, those of the smallest hash of
+    their id; only they and their cells' summaries reach the driver. A task holds at most about `block` vectors and
     `block` queries."""
     vs = quantised(vectors, scale)
-    sample = vs.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    width = vs.agg(F.max(F.size("v"))).first()[0] or 0
+    width, n = vs.agg(F.max(F.size("v")), F.count("*")).first()
+    sample = vs.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(pivots, max(8, round(n**0.5 / 4)))).collect()
     if not sample:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     centres = np.unique(matrix([r.v for r in sample], width), axis=0).astype(float)
@@ -92,10 +93,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
     summary = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.count_if("is_query").alias("nq")).collect()}
     if not (n_queries := sum(r.nq for r in summary.values())):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    chunks = {c: -(-r.n // block) for c, r in summary.items()}
-    per_cell = F.create_map(*(F.lit(x) for c, n in chunks.items() for x in (c, n)))[F.col("cell")]
-    halves = max(1, -(-n_queries // block))
-    data = placed.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), per_cell).cast("int"))
+    # One row for each pivot, so this may be broadcast at any size.
+    chunks = F.broadcast(vectors.sparkSession.createDataFrame([(c, -(-r.n // block)) for c, r in summary.items()], "cell int, chunks int"))
+    parts = max(1, -(-n_queries // block))
+    data = placed.join(chunks, "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int"))
 
     def solve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -106,8 +107,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
 
     def search(asked: DataFrame) -> DataFrame:
         """asked: vec_id, v, floor and the cell to search, for each query and cell."""
-        asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(halves)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), per_cell - 1)))
-        spread = data.select("vec_id", "v", "cell", "chunk").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(halves - 1))))
+        asked = asked.select(*(F.col(c).alias(c) for c in ("vec_id", "v", "cell", "floor")))  # columns apart from data's
+        asked = asked.join(chunks, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        spread = data.select("vec_id", "v", "cell", "chunk").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         return asked.groupBy("cell", "chunk", "part").cogroup(spread.groupBy("cell", "chunk", "part")).applyInPandas(solve, FOUND)
 
     asked = data.where("is_query")
