@@ -14,6 +14,7 @@ from ..operators.delta import refresh as refreshed
 from ..operators.delta import snapshot_diff
 from ..operators.resolve import resolve
 from ..operators.rules import Facts, audit
+from .cut import cut
 
 RELATIONS = ("symbols", "types", "routes", "models", "imports")
 VERSION = 1
@@ -52,15 +53,22 @@ class Index:
         found = [self.relation(k).select("name", "kind", "file_path", "line") for k in ("symbols", "types")]
         return found[0].unionByName(found[1]).where(F.contains(F.lower("name"), F.lit(text.lower())))
 
+    def counts(self) -> DataFrame:
+        """One row: files, languages, and facts of each kind, parse errors included."""
+        kinds = ("symbol", "type", "route", "model", "import", "error")
+        files = self.files.agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
+        return files.crossJoin(self.facts.agg(*(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in kinds)))  # one row each
+
     def save(self, path: str) -> None:
         self.files.write.mode("overwrite").parquet(f"{path}/v{VERSION}/files")
         self.facts.write.mode("overwrite").parquet(f"{path}/v{VERSION}/facts")
 
 
 def build(files: DataFrame, framework: str = "generic") -> Index:
-    """Index files (relative_path, language, mtime_ms, size, text). Text is parsed once, where it is read."""
+    """Index files (relative_path, language, mtime_ms, size, text). Text is parsed once, where it is read; the facts are
+    then cut, because every relation starts from them."""
     source = files.select(F.col("relative_path").alias("file_path"), "language", "text")
-    return Index(files.drop("text"), extract.facts(source, framework))
+    return Index(files.drop("text"), cut(extract.facts(source, framework)))
 
 
 def load(spark: SparkSession, path: str) -> Index | None:

@@ -116,6 +116,11 @@ def test_components_against_brute_force(spark, seed):
         assert {tuple(r) for r in got.collect()} == want
 
 
+def test_counts(spark):
+    row = index.build(project(spark, {**FILES, "bad.py": "def ("})).counts().first()
+    assert (row.files, row.languages, row.models, row.errors, row.routes) == (9, "python,typescript", 1, 1, 1)
+
+
 def test_packages(spark):
     rows = [("react", None, "a.ts", 1, True, "typescript", 0), ("react", None, "b.ts", 1, True, "typescript", 0), ("@scope/pkg/x", None, "a.ts", 2, True, "typescript", 1), ("./x", None, "a.ts", 3, False, "typescript", 2), ("java.util.List", None, "A.java", 1, True, "java", 0)]
     got = graph.external_packages(spark.createDataFrame(rows, schemas.IMPORTS)).collect()
