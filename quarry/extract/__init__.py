@@ -17,6 +17,8 @@ from pyspark.sql.types import _parse_datatype_string
 from .. import schemas
 
 EXTRACTORS: dict[str, Callable] = {}
+#: How many languages register; with fewer, some module is not loaded yet.
+LANGUAGES = 13
 
 
 @dataclass
@@ -65,7 +67,7 @@ def field_row(name: str, type_: str, optional: bool = False) -> dict:
 
 def extract(path: str, language: str, text: str, framework: str = "generic") -> list[dict]:
     """The facts of one text; an `error` row where it cannot be parsed."""
-    if not EXTRACTORS:
+    if len(EXTRACTORS) < LANGUAGES:
         register()
     source = Source(path, language, text, framework)
     try:
