@@ -62,8 +62,10 @@ def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return slots, values / np.sqrt((values * values).sum())
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, updates: int = 36_000) -> np.ndarray:
-    """Weights after about `updates` FTRL-proximal updates, one example at a time; the last weight is the bias."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, updates: int = 36_000, weight_0: float = 3.0) -> np.ndarray:
+    """Weights after about `updates` FTRL-proximal updates, one example at a time; the last weight is the bias.
+
+    Examples of label 0, the rarer one, count weight_0 times."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
     def weight(at: np.ndarray | slice) -> np.ndarray:
@@ -74,21 +76,30 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, alpha: float
         for slots, values, label in rows:
             at, x = np.append(slots, 1 << bits), np.append(values, 1.0)
             w = weight(at)
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
+            g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * (1.0 if label else weight_0) * x
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
     return weight(slice(None))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = 20, most: int = 6000, folds: int = 5) -> np.ndarray:
-    """Fit on at most `most` labelled rows, those of the smallest hash of doc_id, from outside the held-out fold.
+    """Fit on at most `most` labelled documents, those of the smallest hash of doc_id, from outside the held-out fold.
 
-    The bound keeps the sequential updates on one machine at every size of the input."""
+    The bound keeps the sequential updates on one machine at every size of the input. Executors make the features, so the
+    driver sees slots and values only, no texts."""
     chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) != 0))
     chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches):
+            found = [features(t, bits) for t in batch.column("text").to_pylist()]
+            slots, values = (pa.array([x[i].astype(kind).tobytes() for x in found], pa.binary()) for i, kind in ((0, np.int32), (1, np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), slots, values], names=["doc_id", "y", "slots", "vals"])
+
     # The chosen ids are bounded by `most`, so this side may be broadcast at any size.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most).collect()
-    return ftrl([(*features(r.text or "", bits), r.y) for r in rows], bits)
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, slots binary, vals binary")
+    rows = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "slots", "vals").limit(2 * most).collect()
+    return ftrl([(np.frombuffer(r.slots, np.int32), np.frombuffer(r.vals, np.float32), r.y) for r in rows], bits)
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, folds: int = 5) -> DataFrame:
