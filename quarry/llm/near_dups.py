@@ -162,7 +162,8 @@ def prefix_pairs(hot: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, m: int = 14, most: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept for every row of docs."""
     sketched = materialise(sketches(docs, width, m))
-    classes = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # Written first: then both sides of the join come from an exchange, and AQE can split a class of very many copies.
+    classes = materialise(sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
     named = materialise(sketched.join(classes, ["h1", "h2"], "left").select("doc_id", "n", "rep", "a", "b"))
     reps = named.where("doc_id = rep").dropDuplicates(["doc_id"])
 
