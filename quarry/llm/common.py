@@ -6,7 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +50,20 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, for vocabularies and memos."""
-    return sys.modules.setdefault("_quarry_worker", types.ModuleType("_quarry_worker")).__dict__
+def memo(name: str, make: Callable[[], object]) -> object:
+    """make(), kept in the Python worker under a name until another operator asks for its own.
+
+    One worker runs the tasks of many stages; it holds one operator's vocabulary and memo at a time."""
+    held = sys.modules.setdefault("_quarry_worker", types.ModuleType("_quarry_worker")).__dict__.setdefault("memo", {})
+    if name not in held:
+        held.clear()
+        held[name] = make()
+    return held[name]
+
+
+def forget() -> None:
+    """Drop what another operator has left in this worker."""
+    memo("", lambda: None)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import components, id_filter, id_slot, materialise, mix, passes, strings, text_batches
+from .common import components, forget, id_filter, id_slot, materialise, mix, passes, strings, text_batches
 
 BASE = 0x9E3779B97F4A7C15
 SKETCH = "doc_id long, n long, h1 long, h2 long, a array<bigint>, b array<bigint>"
@@ -94,7 +94,8 @@ def sketches(docs: DataFrame, width: int, m: int) -> DataFrame:
     """One row a document: the size and a 128-bit hash of its set, and its two collections of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 4 << 20):
+        forget()
+        for batch in text_batches(batches, 2 << 20):
             sets = list(shingle_sets(*strings(batch.column("text")), width))
             hashes = np.stack([minima(s, m) for s in sets]).view(np.int64)
             full = np.array([len(s) > 0 for s in sets])
@@ -112,7 +113,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = batch.filter(pa.array(passes(bitmap, batch.column("slot"))))
-            for part in text_batches(iter([kept]), 4 << 20):
+            for part in text_batches(iter([kept]), 2 << 20):
                 sets = list(shingle_sets(*strings(part.column("text")), width))
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = pa.array(np.concatenate(sets).view(np.int64))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, worker_cache
+from .common import memo, text_batches
 from .token_ids import Encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -101,9 +101,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, wit
         tokenizer = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
-        key = f"bpe {zlib.crc32(tokenizer.encode())}"
-        encoder = cache[key] if key in cache else cache.setdefault(key, Encoder(tokenizer))
+        encoder = memo(f"bpe {zlib.crc32(tokenizer.encode())}", lambda: Encoder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         small = encoder.tokenizer.get_vocab_size() <= 1 << 16
         for batch in text_batches(batches):

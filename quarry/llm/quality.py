@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, worker_cache
+from .common import memo, text_batches
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 RUN = re.compile(r"(.)\1{3,}")
@@ -35,7 +35,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> tuple[int, int]:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) >= 150_000:
             self.clear()
         shape = "U" if word.isupper() and len(word) > 1 else "T" if word[:1].isupper() else "l" if word.isalpha() else "d" if word.isdigit() else "p"
         low = RUN.sub(r"\1\1\1", word.lower())
@@ -45,7 +45,7 @@ class _Words(dict):
 
 def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots, values) of one whole text; a slot may occur more than once."""
-    words = worker_cache().setdefault("quality_words", _Words())
+    words = memo("quality", _Words)
     found = TOKEN.findall(text)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_table, id_filter, id_slot, mix, passes, remove, strings, text_batches, work_dir
+from .common import byte_table, forget, id_filter, id_slot, mix, passes, remove, strings, text_batches, work_dir
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 ENTRY, MARK, CANDIDATE = 0, 1, 2
@@ -172,7 +172,8 @@ class RepeatIndex:
         length, k = self.length, self.k
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in text_batches(batches, 6 << 20):
+            forget()
+            for batch in text_batches(batches, 4 << 20):
                 doc, first, lead, more, g, c = sample(*strings(batch.column("text")), length, k)
                 yield from emit(batch.column("doc_id").to_numpy()[doc], pack(first, lead, more), g, c)
 
@@ -221,7 +222,7 @@ class RepeatIndex:
         per_doc = near.groupBy("doc_id").agg(F.collect_set("packed").alias("runs"))  # a document's own: bounded by its text
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in text_batches(batches, 6 << 20):
+            for batch in text_batches(batches, 4 << 20):
                 data, offsets = strings(batch.column("text"))
                 runs = batch.column("runs")
                 of = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
@@ -314,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 3) -> Data
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows that the filter drops are finished here; for the others the text goes on to the join."""
-        for batch in text_batches(batches, 16 << 20):
+        for batch in text_batches(batches, 8 << 20):
             hit = passes(bitmap, batch.column("slot").fill_null(1)) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             texts = batch.column("text")
             rows = [(d, 0, 0, 0, None) if h else finish(d, t.as_buffer().to_pybytes(), None) for d, t, h in zip(batch.column("doc_id").to_pylist(), texts, hit, strict=True)]

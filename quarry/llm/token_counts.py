@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_batches, worker_cache
+from .common import memo, text_batches
 
 SPACE = "▁"
 PENALTY = 10.0
@@ -104,8 +104,7 @@ def count_tokens(docs: DataFrame, model_file: str, byte_fallback: bool = True) -
     vocabulary = zipf_vocabulary(model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cache = f"unigram {hash(tuple(vocabulary))} {byte_fallback}", worker_cache()
-        counter = cache[key] if key in cache else cache.setdefault(key, Counter(vocabulary, byte_fallback))
+        counter = memo(f"unigram {hash(tuple(vocabulary))} {byte_fallback}", lambda: Counter(vocabulary, byte_fallback))
         for batch in text_batches(batches):
             found = [counter.text(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["doc_id", "n_tokens", "n_words"])
