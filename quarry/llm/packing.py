@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int, wit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = memo(f"bpe {zlib.crc32(tokenizer.encode())}", lambda: Encoder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
-        small = encoder.tokenizer.get_vocab_size() <= 1 << 16
+        small = encoder.size <= 1 << 16
         for batch in text_batches(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

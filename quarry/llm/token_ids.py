@@ -8,6 +8,8 @@ the library, so the ids are always the library's."""
 from __future__ import annotations
 
 import json
+import struct
+from functools import cached_property
 
 import numpy as np
 import regex
@@ -18,23 +20,33 @@ STABLE = regex.compile(r"[\u0000-ɏ‐-‧‰-⁞€]*")
 
 
 class Encoder(dict):
-    """pre-token -> its ids as bytes; emptied when it holds too many."""
+    """pre-token -> its ids as bytes, in two generations of half of `most` each."""
 
-    def __init__(self, json_text: str, most: int = 700_000):
+    def __init__(self, json_text: str, most: int = 400_000):
+        super().__init__()
+        parsed = json.loads(json_text)
+        self.json, self.special = json_text, [t["content"] for t in parsed.get("added_tokens", [])]
+        self.size = 1 + max([*parsed["model"]["vocab"].values(), *(t["id"] for t in parsed.get("added_tokens", []))])
+        self.old: dict = {}
+        self.most, self.single = most, _by_rank(parsed["model"])
+
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer, made when a text first needs it."""
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_str(json_text)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most, self.single = most, _by_rank(json.loads(json_text)["model"])
+        return Tokenizer.from_str(self.json)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.single(piece), "<u4").tobytes() if self.single else self.whole(piece)
+        if (ids := self.old.get(piece)) is None:
+            found = self.single(piece) if self.single else None
+            ids = self.whole(piece) if found is None else struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
-            if len(self) >= self.most:
+            if 2 * len(self) >= self.most:  # the older half goes; what is used again comes back from it
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
