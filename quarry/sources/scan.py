@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Languages by file ending.
 LANGUAGES = {".ts": "typescript", ".js": "javascript", ".tsx": "tsx", ".jsx": "jsx", ".py": "python", ".go": "go", ".rs": "rust", ".java": "java", ".cs": "csharp", ".php": "php", ".rb": "ruby", ".kt": "kotlin", ".kts": "kotlin", ".astro": "astro"}
-#: Folder names that are never entered. The reports' own folder is added by the caller.
-EXCLUDED = ["node_modules", ".next", ".git", ".worktrees", "__pycache__", ".turbo", "dist", "build", ".cache", "coverage", ".nyc_output", ".parcel-cache", ".codemap", ".claude", "target", "vendor", "bin", "obj", ".venv", "venv", "env"]
+#: Folder names that are never entered. Folders of other tools and of the reports are the caller's to add.
+EXCLUDED = ["node_modules", ".next", ".git", ".worktrees", "__pycache__", ".turbo", "dist", "build", ".cache", "coverage", ".nyc_output", ".parcel-cache", "target", "vendor", "bin", "obj", ".venv", "venv", "env"]
 #: Files whose name contains one of these are left out.
 SKIPPED = [".d.ts", ".map", ".min.js", ".min.css", ".backup.", "-backup-", ".test.", ".spec.", ".stories.", "__test__", "__tests__", "__mocks__"]
 
