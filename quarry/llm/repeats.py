@@ -89,9 +89,14 @@ def sample(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[
 
 
 def emit(doc_id: np.ndarray, packed: np.ndarray, g: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Entries of one batch; of equal ones the earliest is an entry and the others are marks."""
+    """Entries of one batch; of equal ones the earliest is an entry and the others are marks. A row repeated with its
+    id gives the same entries again, which are dropped: they are the entry itself and no copies of it."""
     order = np.lexsort((packed, doc_id, c, g))
     doc_id, packed, g, c = doc_id[order], packed[order], g[order].view(np.int64), c[order].view(np.int64)
+    again = np.zeros(len(g), bool)
+    again[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1]) & (doc_id[1:] == doc_id[:-1]) & (packed[1:] == packed[:-1])
+    if again.any():
+        doc_id, packed, g, c = (x[~again] for x in (doc_id, packed, g, c))
     same = np.zeros(len(g), bool)
     same[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
     # Marks get a key of their own document, so that a common passage's copies do not meet in one task.

@@ -94,6 +94,16 @@ def test_repeats_of_repeated_and_null_rows(spark):
     assert remove_repeats(frame(spark, rows).where("false")).count() == 0
 
 
+def test_repeated_rows_of_one_arrow_batch_are_no_copies(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, "a" + text), (2, "a" + text), (3, text + text), (3, text + text)]
+    df = frame(spark, rows).coalesce(1)
+    out = remove_repeats(df).collect()
+    assert len(out) == len(rows) and {r.doc_id: tuple(r)[1:] for r in out} == brute_repeats(rows)
+    assert len(set(out)) == 3
+    assert [r.text for r in cut_repeats(df).collect() if r.doc_id == 1] == [text, text]
+
+
 def test_cut_text_is_valid_and_keeps_columns(spark):
     text = "é" * 120
     df = frame(spark, [(1, text), (2, "a" + text), (None, text), (4, None)])
