@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.scalars import case_map, heat_score
 from ..operators import graph
 from ..operators.ranking import primary_and_related
-from .registry import query, table
+from .registry import WITHOUT_SQL, query, table
 
 
-def part_edges(spark: SparkSession, sf: str, quantity: int) -> DataFrame:
-    """Distinct (src, dst) over lines of at most `quantity`; the filter reaches the scan, one shuffle by order."""
-    lines = table(spark, sf, "lineitem").where(F.col("l_quantity") <= quantity)
+def part_edges(spark: SparkSession, sf: str, quantity: int | None) -> DataFrame:
+    """Distinct (src, dst) over lines of at most `quantity`, or over all; the filter reaches the scan, one shuffle by order."""
+    lines = table(spark, sf, "lineitem")
+    if quantity is not None:
+        lines = lines.where(F.col("l_quantity") <= quantity)
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     return lines.select(F.col("l_partkey").alias("src"), after.alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
 
@@ -86,6 +88,15 @@ def scc_components_sparse(spark, sf):
     return graph.scc(_classes(spark, sf, 300))
 
 
+def scc_components_whole(spark: SparkSession, sf: str, few: int = 100_000) -> DataFrame:
+    """Components of the graph of all parts and lines. The two queries above see lines of at most 2 and classes of
+    parts, as their SQL does."""
+    return graph.scc(part_edges(spark, sf, None), few)
+
+
+WITHOUT_SQL["scc_components_whole"] = scc_components_whole
+
+
 LAYERS = ("STANDARD", "ECONOMY"), ("PROMO", "LARGE")
 
 
