@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import case_map, heat_score
 from ..operators import graph
 from ..operators.ranking import primary_and_related
+from .cut import cut
 from .registry import WITHOUT_SQL, query, table
 
 
@@ -187,3 +188,17 @@ def kind_rank_sort(spark, sf):
     rank = case_map("event_type", {"purchase": 0, "signup": 1, "click": 2, "view": 3}, 99)
     top = table(spark, sf, "events").select("event_id", "event_type").orderBy(rank, "event_id").limit(100)  # a top-k: no global window over all rows
     return top.withColumn("place", F.row_number().over(Window.orderBy(rank, "event_id")))
+
+
+@query("""SELECT event_id, event_type, row_number() OVER (ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 99 END, event_id) AS place FROM events""")
+def kind_rank_sort_whole(spark, sf):
+    """Every event in order; a place is its row number in its partition and the counts of the partitions before."""
+    rank = case_map("event_type", {"purchase": 0, "signup": 1, "click": 2, "view": 3}, 99)
+    rows = cut(table(spark, sf, "events").select("event_id", "event_type").orderBy(rank, "event_id"))  # written, so partitions stay as they are
+    rows = rows.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
+    before, offsets = 0, []
+    for r in rows.groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect():  # one row for each partition
+        offsets.append((r.p, before))
+        before += r.n
+    base = F.broadcast(spark.createDataFrame(offsets, "p int, base long"))
+    return rows.join(base, "p").select("event_id", "event_type", (F.col("base") + F.col("i") + 1).alias("place"))

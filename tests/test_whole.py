@@ -46,3 +46,16 @@ def test_components_of_all_lines(spark, tmp_path, few):
     run = __spark_entry__.queries()["scc_components_whole"]
     got = run(spark, sf) if few is None else run(spark, sf, few)
     assert sorted(map(tuple, got.collect())) == want and {(1, 1), (101, 1), (2, 2), (102, 2), (202, 2)} <= set(want)
+
+
+def test_every_event_has_its_place(spark, tmp_path):
+    kinds = ["view", "click", "other", "purchase", "signup"]
+    rows = [(i, kinds[i * 7 % 5]) for i in range(1000)]
+    random.Random(6).shuffle(rows)
+    sf = save(spark, tmp_path, events=(rows, "event_id long, event_type string"))
+    order = {"purchase": 0, "signup": 1, "click": 2, "view": 3, "other": 99}
+    want = [(i, k, n + 1) for n, (i, k) in enumerate(sorted(rows, key=lambda r: (order[r[1]], r[0])))]
+    got = catalog.QUERIES["kind_rank_sort_whole"](spark, sf)
+    assert [tuple(r) for r in got.collect()] == want
+    spark.createDataFrame([], "event_id long, event_type string").write.parquet(f"{sf}/none/events.parquet")
+    assert catalog.QUERIES["kind_rank_sort_whole"](spark, f"{sf}/none").count() == 0
