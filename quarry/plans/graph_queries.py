@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.scalars import case_map, heat_score
 from ..operators import graph
 from ..operators.ranking import primary_and_related
 from .cut import cut
-from .registry import WITHOUT_SQL, query, table
+from .registry import ORACLES, QUERIES, WITHOUT_SQL, query, table
 
 
 def part_edges(spark: SparkSession, sf: str, quantity: int | None) -> DataFrame:
@@ -30,23 +32,23 @@ SCORE = "CAST(floor((CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 50
 
 
 @query(f"WITH {E(6)} SELECT src, dst FROM e")
-def edge_build_distinct(spark, sf):
-    return part_edges(spark, sf, 6)
+def edge_build_distinct(spark, sf, quantity=6):
+    return part_edges(spark, sf, quantity)
 
 
 @query(f"WITH {E(10)}, {DEGREES} SELECT node, imported_by, imports, CAST(greatest(0, (SELECT count(*) FROM d) - 15) AS BIGINT) AS more FROM d ORDER BY imported_by DESC, imports DESC, node LIMIT 15")
-def degree_rank_topk(spark, sf):
-    return graph.hottest(part_edges(spark, sf, 10), 15)
+def degree_rank_topk(spark, sf, quantity=10):
+    return graph.hottest(part_edges(spark, sf, quantity), 15)
 
 
 @query(f"WITH {E(6)} SELECT count(DISTINCT node) AS nodes FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)")
-def connected_node_count(spark, sf):
-    return graph.connected_count(part_edges(spark, sf, 6))
+def connected_node_count(spark, sf, quantity=6):
+    return graph.connected_count(part_edges(spark, sf, quantity))
 
 
-def _blast(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _blast(spark: SparkSession, sf: str, quantity: int | None) -> tuple[DataFrame, DataFrame]:
     """(start, reach) of the most depended-on part, against the edges."""
-    edges = part_edges(spark, sf, 6)
+    edges = part_edges(spark, sf, quantity)
     start = graph.degrees(edges).orderBy(F.desc("imported_by"), F.desc("imports"), "node").limit(1).select("node")
     return start, graph.reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, 3)
 
@@ -57,13 +59,13 @@ m AS (SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY node)"""
 
 
 @query(f"{REACH} SELECT node, hop FROM m WHERE hop > 0")
-def reach_within_3_hops(spark, sf):
-    return _blast(spark, sf)[1]
+def reach_within_3_hops(spark, sf, quantity=6):
+    return _blast(spark, sf, quantity)[1]
 
 
 @query(f"{REACH} SELECT DISTINCT l_orderkey AS orderkey FROM lineitem WHERE l_partkey IN (SELECT node FROM m)")
-def reach_semi_join_orders(spark, sf):
-    start, found = _blast(spark, sf)
+def reach_semi_join_orders(spark, sf, quantity=6):
+    start, found = _blast(spark, sf, quantity)
     hit = found.select("node").unionByName(start)
     return table(spark, sf, "lineitem").join(hit, F.col("l_partkey") == F.col("node"), "left_semi").select(F.col("l_orderkey").alias("orderkey")).distinct()
 
@@ -103,13 +105,13 @@ LAYERS = ("STANDARD", "ECONOMY"), ("PROMO", "LARGE")
 
 @query(f"""WITH {E(10)} SELECT src, dst, s.p_type AS src_type, t.p_type AS dst_type FROM e JOIN part s ON s.p_partkey = src JOIN part t ON t.p_partkey = dst
 WHERE (s.p_type LIKE '%STANDARD%' OR s.p_type LIKE '%ECONOMY%') AND (t.p_type LIKE '%PROMO%' OR t.p_type LIKE '%LARGE%')""")
-def layer_violation_edges(spark, sf):
+def layer_violation_edges(spark, sf, quantity=10):
     from ..functions.scalars import any_of
 
     part = table(spark, sf, "part")
     low = part.where(any_of("p_type", list(LAYERS[0]))).select(F.col("p_partkey").alias("src"), F.col("p_type").alias("src_type"))
     high = part.where(any_of("p_type", list(LAYERS[1]))).select(F.col("p_partkey").alias("dst"), F.col("p_type").alias("dst_type"))
-    return part_edges(spark, sf, 10).join(low, "src").join(high, "dst").select("src", "dst", "src_type", "dst_type")
+    return part_edges(spark, sf, quantity).join(low, "src").join(high, "dst").select("src", "dst", "src_type", "dst_type")
 
 
 SEVERITY = "CASE WHEN p_size > 40 THEN 'critical' WHEN p_size > 25 THEN 'high' WHEN p_size > 10 THEN 'medium' ELSE 'low' END"
@@ -120,28 +122,28 @@ def _severity():
 
 
 @query(f"WITH {E(10)}, {DEGREES}, f AS (SELECT p_partkey AS node, {SEVERITY} AS severity, coalesce(imported_by, 0) AS heat FROM part LEFT JOIN d ON node = p_partkey) SELECT node, severity, heat, {SCORE} AS score FROM f", "heat_score")
-def heat_score_parts(spark, sf):
-    d = graph.degrees(part_edges(spark, sf, 10))
+def heat_score_parts(spark, sf, quantity=10):
+    d = graph.degrees(part_edges(spark, sf, quantity))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), _severity().alias("severity"))
     rows = parts.join(d, "node", "left").select("node", "severity", F.coalesce("imported_by", F.lit(0)).cast("long").alias("heat"))
     return rows.withColumn("score", heat_score("severity", "heat"))
 
 
 @query(f"WITH {E(6)} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT src FROM e) AND p_partkey NOT IN (SELECT dst FROM e)")
-def isolated_nodes(spark, sf):
-    nodes = part_edges(spark, sf, 6).select(F.explode(F.array("src", "dst")).alias("node"))
+def isolated_nodes(spark, sf, quantity=6):
+    nodes = part_edges(spark, sf, quantity).select(F.explode(F.array("src", "dst")).alias("node"))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("node")).join(nodes, "node", "left_anti")
 
 
 @query(f"WITH {E(6)}, {DEGREES} SELECT node, imports FROM d WHERE imports > 0 AND imported_by = 0")
-def source_only_nodes(spark, sf):
-    return graph.degrees(part_edges(spark, sf, 6)).where("imports > 0 AND imported_by = 0").select("node", "imports")
+def source_only_nodes(spark, sf, quantity=6):
+    return graph.degrees(part_edges(spark, sf, quantity)).where("imports > 0 AND imported_by = 0").select("node", "imports")
 
 
 @query(f"""WITH {E(10)}, {DEGREES}, r AS (SELECT p_brand AS brand, p_partkey AS part, coalesce(imported_by, 0) AS heat, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(imported_by, 0) DESC, p_partkey) AS n FROM part LEFT JOIN d ON node = p_partkey)
 SELECT brand, max(part) FILTER (n = 1) AS "primary", max(heat) FILTER (n = 1) AS heat, coalesce(string_agg(CAST(part AS VARCHAR), ',' ORDER BY n) FILTER (n > 1), '') AS related FROM r GROUP BY brand""", "primary_and_related")
-def primary_and_related_parts(spark, sf):
-    d = graph.degrees(part_edges(spark, sf, 10)).withColumnRenamed("node", "part")
+def primary_and_related_parts(spark, sf, quantity=10):
+    d = graph.degrees(part_edges(spark, sf, quantity)).withColumnRenamed("node", "part")
     rows = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("part")).join(d, "part", "left").select("brand", "part", F.coalesce("imported_by", F.lit(0)).cast("long").alias("heat"))
     out = primary_and_related(rows, "brand", "part", "heat")
     return out.withColumn("related", F.array_join(F.transform("related", lambda x: x.cast("string")), ","))
@@ -152,8 +154,8 @@ def primary_and_related_parts(spark, sf):
   UNION ALL SELECT 'isolated', 2, 'medium', p_partkey, 0 FROM part WHERE p_partkey NOT IN (SELECT node FROM d)
   UNION ALL SELECT 'source-only', 3, 'low', node, 0 FROM d WHERE imported_by = 0 AND imports > 0)
 SELECT rule, rule_order, severity, node, heat, {SCORE} AS score FROM f""")
-def rules_union_ranked(spark, sf):
-    d = graph.degrees(part_edges(spark, sf, 10))
+def rules_union_ranked(spark, sf, quantity=10):
+    d = graph.degrees(part_edges(spark, sf, quantity))
     heat = F.col("imported_by")
     ladder = F.when(heat >= 8, "critical").when(heat >= 5, "high").otherwise("medium")
 
@@ -202,3 +204,17 @@ def kind_rank_sort_whole(spark, sf):
         before += r.n
     base = F.broadcast(spark.createDataFrame(offsets, "p int, base long"))
     return rows.join(base, "p").select("event_id", "event_type", (F.col("base") + F.col("i") + 1).alias("place"))
+
+
+#: Queries whose edges come from lines of at most 6 or 10; each is registered as NAME_whole over all lines as well.
+OF_LINES = "edge_build_distinct degree_rank_topk connected_node_count reach_within_3_hops reach_semi_join_orders layer_violation_edges heat_score isolated_nodes source_only_nodes primary_and_related rules_union_ranked".split()
+
+
+def _whole_sql(sql: str) -> str:
+    for n in (6, 10):
+        sql = sql.replace(E(n), E(n).replace(f" WHERE l_quantity <= {n}", ""))
+    return sql
+
+
+for _name in OF_LINES:
+    query(_whole_sql(ORACLES[_name]), f"{_name}_whole")(partial(QUERIES[_name], quantity=None))

@@ -59,3 +59,23 @@ def test_every_event_has_its_place(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == want
     spark.createDataFrame([], "event_id long, event_type string").write.parquet(f"{sf}/none/events.parquet")
     assert catalog.QUERIES["kind_rank_sort_whole"](spark, f"{sf}/none").count() == 0
+
+
+def test_graph_queries_of_all_lines(spark, tmp_path):
+    orders = [[1, 2, 3], [4, 2], [2, 3]]  # 1 and 4 are sources, 5 has no edge; no line is of 10 or less
+    part = [(i, "STANDARD" if i == 4 else "PROMO", "Brand#1", 30) for i in range(1, 6)]
+    sf = save(spark, tmp_path, lineitem=lines(orders), part=(part, "p_partkey long, p_type string, p_brand string, p_size int"))
+
+    def run(name):
+        return sorted(map(tuple, catalog.QUERIES[f"{name}_whole"](spark, sf).collect()))
+
+    assert run("edge_build_distinct") == [(1, 2), (2, 3), (4, 2)]
+    assert run("isolated_nodes") == [(5,)] and run("source_only_nodes") == [(1, 1), (4, 1)]
+    assert run("connected_node_count") == [(4,)] and run("reach_within_3_hops") == [(1, 1), (4, 1)]
+    assert run("layer_violation_edges") == [(4, 2, "STANDARD", "PROMO")]
+    assert [r[:3] for r in run("heat_score")] == [(1, "high", 0), (2, "high", 2), (3, "high", 1), (4, "high", 0), (5, "high", 0)]
+
+
+def test_whole_queries_read_every_line():
+    assert not [n for n in catalog.ORACLES if n.endswith("_whole") and "l_quantity" in catalog.ORACLES[n]]
+    assert len([n for n in catalog.ORACLES if n.endswith("_whole")]) == 12
