@@ -3,22 +3,25 @@
 append() writes an arrival as small immutable Parquet shards; compact() merges the runs of a tier, that is of
 similar size, into files of about the target size; each ends with an atomic commit of a new manifest version.
 Readers take the newest version and never see half of a change. A manifest is a Parquet table of files with their
-bytes and rows; a version is committed by renaming a one-line file that names it, which fails if another writer has
+bytes and rows; a version is committed by renaming a file that names it and holds the schema of all arrivals so far, which fails if another writer has
 committed that version meanwhile (on file systems whose rename does not replace, as HDFS).
 
 A merge reads its runs with the reader's own packing of small files and writes them without a shuffle.
 
-Edge cases: rows are kept as they are, with all their columns, nulls and repeats; an empty arrival commits a
-version that adds nothing; runs of half the target or more are final; a tier with fewer than `fanout` runs waits.
+Edge cases: rows are kept as they are, with all their columns, nulls and repeats; a column that only some
+arrivals have is null in the others' rows, and one that comes with another type is refused; an empty arrival commits a
+version that adds no rows, and a store without rows gives none; runs of half the target or more are final; a tier with fewer than `fanout` runs waits.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import hadoop_path, remove
 
@@ -45,16 +48,40 @@ class ShardStore:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        name = self.spark.read.text(f"{self.root}/versions/{version:08d}").first()[0]
+        name = self._lines(version)[0]
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{name}")
 
-    def _commit(self, base: int, files: DataFrame) -> int:
-        name = uuid.uuid4().hex
+    def _lines(self, version: int) -> list[str]:
+        """The manifest's name and the schema; versions of older stores have the name alone."""
+        return self.spark.read.text(f"{self.root}/versions/{version:08d}", wholetext=True).first()[0].splitlines()
+
+    def schema(self, version: int | None = None) -> StructType:
+        """The columns of all arrivals up to a version."""
+        version = self.version() if version is None else version
+        if not version:
+            return StructType()
+        lines = self._lines(version)
+        if len(lines) > 1:
+            return StructType.fromJson(json.loads(lines[1]))
+        files = [r.path for r in self.manifest(version).select("path").toLocalIterator()]
+        return self.spark.read.option("mergeSchema", True).parquet(*files).schema if files else StructType()
+
+    def _merged(self, base: int, new: StructType) -> StructType:
+        """The schema of a version with the columns that are new."""
+        fields = {f.name.lower(): f for f in self.schema(base)}
+        for f in new:
+            held = fields.setdefault(f.name.lower(), f)
+            if held.dataType != f.dataType:
+                raise TypeError(f"column {f.name} is {held.dataType.simpleString()} in the store and {f.dataType.simpleString()} in the arrival")
+        return StructType(list(fields.values()))
+
+    def _commit(self, base: int, files: DataFrame, schema: StructType | None = None) -> int:
+        name, schema = uuid.uuid4().hex, self.schema(base) if schema is None else schema
         files.coalesce(1).write.parquet(f"{self.root}/manifests/{name}")
         fs, held = hadoop_path(self.spark, f"{self.root}/versions/.{name}")
         _, final = hadoop_path(self.spark, f"{self.root}/versions/{base + 1:08d}")
         out = fs.create(held, False)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(f"{name}\n{schema.json()}".encode()))
         out.close()
         if fs.exists(final) or not fs.rename(held, final):
             fs.delete(held, False)
@@ -70,7 +97,12 @@ class ShardStore:
         """Write an arrival as shards of at most shard_rows rows and commit it."""
         base, folder = self.version(), f"{self.root}/data/{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", shard_rows).parquet(folder)
-        return self._commit(base, self.manifest(base).unionByName(self._written(folder)))
+        try:
+            schema = self._merged(base, self.spark.read.parquet(folder).schema)
+        except TypeError:
+            remove(self.spark, folder)
+            raise
+        return self._commit(base, self.manifest(base).unionByName(self._written(folder)), schema)
 
     def tiers(self, files: DataFrame) -> DataFrame:
         """files with their tier: the power of fanout of their size over the least; -1 for final ones."""
@@ -87,7 +119,7 @@ class ShardStore:
                 return base
             runs = [r.path for r in files.where(F.col("tier") == due.tier).select("path").toLocalIterator()]  # names, not rows
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            self.spark.read.parquet(*runs).coalesce(max(1, math.ceil(due.bytes / self.target))).write.parquet(folder)
+            self.spark.read.schema(self.schema(base)).parquet(*runs).coalesce(max(1, math.ceil(due.bytes / self.target))).write.parquet(folder)
             rest = files.where(F.col("tier") != due.tier).drop("tier")
             self._commit(base, rest.unionByName(self._written(folder)))
 
@@ -100,5 +132,6 @@ class ShardStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
-        files = [r.path for r in self.manifest(version).select("path").toLocalIterator()]
-        return self.spark.read.parquet(*files)
+        version = self.version() if version is None else version
+        files, schema = [r.path for r in self.manifest(version).select("path").toLocalIterator()], self.schema(version)
+        return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)

@@ -271,6 +271,28 @@ def test_shards_compact_and_commit(spark):
     assert store.append(df.where("false")) == store.version() and store.read().count() == 601
 
 
+def test_shards_of_an_empty_table(spark, tmp_path):
+    from quarry.llm import catalog
+
+    docs(spark, ["a"]).selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "1L AS n_chars").where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.op3_sharding(spark, str(tmp_path)).count() == 0
+
+
+def test_shards_keep_a_column_that_some_arrivals_have(spark):
+    store = shards.ShardStore(spark, work_dir(spark), least=1_000_000, fanout=3)
+    plain, more = spark.range(3).coalesce(1), spark.range(3, 5).selectExpr("id", "'x' AS extra").coalesce(1)
+    for rows in (plain, more, plain):
+        store.append(rows)
+    want = [(0, None)] * 2 + [(1, None)] * 2 + [(2, None)] * 2 + [(3, "x"), (4, "x")]
+    assert sorted(map(tuple, store.read().collect()), key=lambda r: r[0]) == want and store.read(1).columns == ["id"]
+    assert store.compact() == 4
+    store.vacuum()
+    assert sorted(map(tuple, store.read().collect()), key=lambda r: r[0]) == want
+    with pytest.raises(TypeError):
+        store.append(spark.range(1).selectExpr("id", "1 AS extra"))
+    assert store.version() == 4
+
+
 # --- quality
 
 
