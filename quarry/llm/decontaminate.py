@@ -6,7 +6,8 @@ Document words join that word, the window's place follows from the word's offset
 bounds drop what would overlap the document's ends, and the words there are compared with the window's. Positions
 are exploded inside one code-generated stage; only words that are some window's rarest leave it.
 
-Edge cases: null texts have no words and null item_ids take no part; documents and items of any length are read
+Edge cases: null texts have no words and null item_ids take no part; rows with a null doc_id are not searched, as in
+the SQL: n_hit is 0 and contaminated false whatever their text holds, beside their true n_words; documents and items of any length are read
 whole; rows repeated with their id come back each, with the same counts; items with equal windows each count; an
 empty benchmark hits nothing and an empty documents table gives no rows; other columns are ignored.
 """

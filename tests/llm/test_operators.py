@@ -196,6 +196,13 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.decontaminate(frame.where("false"), bench).count() == 0
 
 
+def test_decontamination_does_not_search_rows_without_id(spark):
+    bench = spark.createDataFrame([(1, "the whole passage")], "item_id long, text string")
+    frame = docs(spark, ["see the whole passage", "see the whole passage"], ids=[None, 4])
+    got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in decontaminate.decontaminate(frame, bench).collect()}
+    assert got == {None: (4, 0, False), 4: (4, 3, True)}
+
+
 # --- top k
 
 
