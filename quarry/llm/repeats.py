@@ -3,25 +3,35 @@
 A repeat is a string of `length` bytes that also starts earlier, in a smaller doc_id or earlier in its own.
 Indexing every suffix would take several times the corpus in disk, so each array is sparse: it holds the suffixes
 at content-defined sample positions only, the leftmost smallest k-mer hash of every window of `length` bytes. Equal
-windows have their sample at the same place, so no match is lost. An entry stands for the run of windows that
-share one sample; `g` hashes the k-mer at the sample and `c` the run's whole context, so sorting by (g, c)
-puts equal contexts side by side as a suffix array does.
+windows have their sample at the same place, so no match is lost. An entry stands for the run of windows that share
+one sample. Its key is the first DEPTH bytes of the suffix itself, as far as the run's windows reach, and then a digest
+of the run's whole context; arrays are sorted by key, that is in suffix order, and cut into ranges of keys.
 
 RepeatIndex.add() samples a batch, sorts it together with the existing levels in one shuffle and merge-scans the
-result: of equal contexts the earliest stays and the others are marked as repeats, and contexts that share a
-k-mer but are not equal become candidates, which are compared in blocks of windows and then window by window. Levels of equal size then
-merge geometrically, as in a binary counter; others are scanned and not rewritten. Copies inside a task are
-found before the shuffle, so a passage in a third of all rows sends one entry from each task.
+result in suffix order. Of equal contexts the earliest stays and the others are marked as its copies. A run can
+share a window with another context only if its longest common prefix with one of its neighbours reaches the end of
+its first window (or DEPTH): these runs become candidates, which are compared in blocks of windows and then window by
+window. Levels of equal size then merge geometrically, as in a binary counter; others are scanned and not rewritten.
+
+Every match is then held against bytes: the copies of a document are joined to long spans, each span fetches its
+source's bytes, and only what equals them is cut. A digest that two contexts share can so never delete a text.
+
+Skew: copies inside a batch are found before the shuffle, so a passage in a third of all rows sends one entry from each
+batch, and its runs with different surroundings differ in their keys, which the ranges divide: split points come from a
+bounded sample and bear on balance alone. The first and last run of a range count as candidates, so matches across
+ranges are not lost.
 
 Edge cases: null and empty texts have 0 bytes; rows with a null doc_id take no part and come back unchanged; a row
-repeated with its id is one document and is no copy of itself; texts of any length are read whole; an empty
-table gives no rows; other columns of docs are ignored.
+repeated with its id is one document and is no copy of itself; rows that share an id but not a text are each cut
+only where their own bytes equal a source's; texts are sampled in segments, so memory grows by a few bytes a byte of
+the longest text; an empty table gives no rows; other columns of docs are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,42 +41,65 @@ from pyspark.sql import functions as F
 from .common import byte_table, forget, id_filter, id_slot, mix, passes, remove, strings, text_batches, work_dir
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+DEPTH, DIGEST = 32, 8
+WIDTH = DEPTH + DIGEST
 ENTRY, MARK, CANDIDATE = 0, 1, 2
-ENTRIES = "kind int, g long, c long, doc_id long, packed long, level int"
+#: kind; range of keys; key, or for a mark its source (doc_id and start); the run; the level it comes from.
+ENTRIES = "kind int, part int, key binary, doc_id long, packed long, level int"
+NAMES = [f.split()[0] for f in ENTRIES.split(", ")]
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SPANS = "doc_id long, start long, n long, src long, src_start long"
+SEGMENT = 2 << 20
+
+
+def binaries(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes as a binary array."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The rows of a binary array of one width as a matrix of bytes."""
+    return strings(column)[0].reshape(-1, width)
 
 
-class Hashes:
-    """Polynomial hashes of any substring of a buffer: (S[j] - S[i]) * BASE**-i, modulo 2**64."""
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each slice, as big-endian bytes."""
+    from xxhash import xxh3_64_intdigest as digest
 
-    def __init__(self, data: np.ndarray, seed: int):
-        n = len(data)
-        up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-        if n:
-            up[0] = down[0] = 1
-        np.multiply.accumulate(up, out=up)
-        self.inverse = np.multiply.accumulate(down, out=down)
-        up *= byte_table(seed)[data]
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(up, out=self.sums[1:])
+    view = memoryview(np.ascontiguousarray(data))
+    return np.array([digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)], ">u8").reshape(-1, 1).view(np.uint8)
 
-    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
-        return mix((self.sums[starts + length] - self.sums[starts]) * self.inverse[starts])
 
-    def all(self, length: int) -> np.ndarray:
-        """Of every position that has `length` bytes after it."""
-        n = len(self.sums) - length
-        return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
+def keys(data: np.ndarray, at: np.ndarray, reach: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The suffix at `at`, `reach` bytes of it at most and zeros behind, and the digest of start..end."""
+    steps = np.arange(DEPTH)
+    suffix = data[np.minimum(at[:, None] + steps, len(data) - 1)] * (steps < reach[:, None])
+    return np.concatenate([suffix.astype(np.uint8), digests(data, start, end)], axis=1)
+
+
+def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """A polynomial hash of every k bytes: (S[i + k] - S[i]) * BASE**-i, modulo 2**64. Equal bytes have equal hashes; they
+    only choose sample positions, so what else collides does not matter."""
+    n = len(data)
+    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    np.multiply.accumulate(up, out=up)
+    np.multiply.accumulate(down, out=down)
+    up *= byte_table(1)[data]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(up, out=sums[1:])
+    return mix((sums[k:] - sums[: n + 1 - k]) * down[: n + 1 - k]) if n > k else mix(sums[k:])
 
 
 def sample(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(document index, first window start in it, sample's distance, windows - 1, g, c) of each run that shares a sample."""
+    """(document index, first window start in it, sample's distance, windows - 1, key) of each run that shares a sample."""
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
-    hashes = Hashes(data, 1)
-    kmers = hashes.all(k)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros((0, WIDTH), np.uint8),)
+    kmers = kmer_hashes(data, k)
     # The smallest hash, then the leftmost position, in one number: its sliding minimum by doubling.
     least = (kmers & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(kmers), dtype=np.uint64)
+    del kmers
     width, have = length - k + 1, 1
     while have < width:
         step = min(have, width - have)
@@ -83,79 +116,115 @@ def sample(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[
     before[1:], after[:-1] = valid[:-1] & ~new[1:], valid[1:] & ~new[1:]
     first, last = np.flatnonzero(valid & ~before), np.flatnonzero(valid & ~after)
     at = anchor[first]
-    c = mix(hashes.at(first, length) * np.uint64(0xD6E8FEB86659FD93) + hashes.at(last, length) * np.uint64(0xA0761D6478BD642F) + (at - first).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + (last - first).astype(np.uint64))
     doc = np.searchsorted(offsets, first, "right") - 1
-    return doc, first - offsets[doc], at - first, last - first, kmers[at], c
+    return doc, first - offsets[doc], at - first, last - first, keys(data, at, length - (at - last), first, last + length)
+
 
+def sampled(batch: pa.RecordBatch, length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """sample() of a batch; a text longer than a segment goes by segments, whose windows begin in turn. A run that a border
+    divides is two runs, which are each other's neighbours and so candidates."""
+    data, offsets = strings(batch.column("text"))
+    if len(offsets) > 2 or len(data) <= 2 * SEGMENT:
+        yield sample(data, offsets, length, k)
+        return
+    for a in range(0, len(data) - length + 1, SEGMENT):
+        part = data[a : a + SEGMENT + length - 1]
+        doc, first, lead, more, key = sample(part, np.array([0, len(part)]), length, k)
+        yield doc, first + a, lead, more, key
 
-def emit(doc_id: np.ndarray, packed: np.ndarray, g: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def pack(start: np.ndarray, lead: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """A run in one number: its first window's start, the sample's distance from it, and its windows less one."""
+    return start << 16 | lead << 8 | more
+
+
+def source_of(doc_id: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """A mark's source as bytes."""
+    return np.stack([doc_id, packed >> 16], axis=1).astype("<i8").view(np.uint8)
+
+
+def emit(doc_id: np.ndarray, packed: np.ndarray, key: np.ndarray, place: Callable[[np.ndarray], np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
     """Entries of one batch; of equal ones the earliest is an entry and the others are marks. A row repeated with its
     id gives the same entries again, which are dropped: they are the entry itself and no copies of it."""
-    order = np.lexsort((packed, doc_id, c, g))
-    doc_id, packed, g, c = doc_id[order], packed[order], g[order].view(np.int64), c[order].view(np.int64)
-    again = np.zeros(len(g), bool)
-    again[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1]) & (doc_id[1:] == doc_id[:-1]) & (packed[1:] == packed[:-1])
+    order = np.lexsort((packed, doc_id, np.ascontiguousarray(key[:, DEPTH:]).view(">u8").ravel()))
+    doc_id, packed, key = doc_id[order], packed[order], key[order]
+    same = np.zeros(len(key), bool)
+    same[1:] = (key[1:] == key[:-1]).all(1)
+    again = same.copy()
+    again[1:] &= (doc_id[1:] == doc_id[:-1]) & (packed[1:] == packed[:-1])
     if again.any():
-        doc_id, packed, g, c = (x[~again] for x in (doc_id, packed, g, c))
-    same = np.zeros(len(g), bool)
-    same[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
-    # Marks get a key of their own document, so that a common passage's copies do not meet in one task.
-    g = np.where(same, mix(doc_id.astype(np.uint64)).view(np.int64), g)
-    names = ["kind", "g", "c", "doc_id", "packed", "level"]
-    yield pa.RecordBatch.from_arrays([pa.array(same.astype(np.int32)), pa.array(g), pa.array(np.where(same, 0, c)), pa.array(doc_id), pa.array(packed), pa.array(np.full(len(g), -1, np.int32))], names=names)
+        doc_id, packed, key, same = (x[~again] for x in (doc_id, packed, key, same))
+    of = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
+    for kind, rows in ((ENTRY, ~same), (MARK, same)):
+        if not rows.any():
+            continue
+        d, p = doc_id[rows], packed[rows]
+        what = key[rows] if kind == ENTRY else source_of(doc_id[of[rows]], packed[of[rows]])
+        # Marks go by their own document, so that a common passage's copies do not meet in one task.
+        part = place(what) if kind == ENTRY else (mix(d.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        yield batch_of(kind, part, what, d, p, -1)
+
 
+def batch_of(kind: int, part: np.ndarray, key: np.ndarray, doc_id: np.ndarray, packed: np.ndarray, level: int = 0) -> pa.RecordBatch:
+    n = len(doc_id)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(part.astype(np.int32)), binaries(key), pa.array(doc_id), pa.array(packed), pa.array(np.full(n, level, np.int32))], names=NAMES)
 
-def merge_scan(merging: frozenset[int]):
-    """A scan over a partition sorted by kind, g, c, doc_id and packed.
 
-    Gives the earliest entry of each context (as an entry if its level is among `merging`), marks for the others,
-    and candidates: earliest entries whose g has other contexts. It holds a batch and one row."""
+def merge_scan(merging: frozenset[int], length: int, tell: bool = True):
+    """A scan over a range of keys, sorted by kind, key, doc_id and packed.
 
-    def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(x) for x in columns[:4]), pa.array(np.zeros(len(columns[0]), np.int32))], names=["kind", "g", "c", "doc_id", "packed", "level"])
+    Gives the earliest entry of each context (as an entry if its level is among `merging`), marks for the others and, if
+    asked to tell, candidates: earliest entries whose common prefix with a neighbour is long enough for a window,
+    and the range's ends. It holds a batch and one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last context's earliest entry, and whether it is a candidate already
+        held: tuple | None = None  # the last context's earliest entry, whether it is to be kept, and whether it is a candidate already
         for batch in batches:
-            kind, g, c, doc, packed, level = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            n = int(np.searchsorted(kind, MARK))
-            if n < len(kind):
-                yield out(MARK, g[n:], c[n:], doc[n:], packed[n:])
+            n = int(np.searchsorted(batch.column("kind").to_numpy(), MARK))
+            if n < batch.num_rows:
+                yield batch.slice(n)
             if not n:
                 continue
-            g, c, doc, packed, level = g[:n], c[:n], doc[:n], packed[:n], level[:n]
+            batch = batch.slice(0, n)
+            part, doc, packed, level = (batch.column(c).to_numpy() for c in ("part", "doc_id", "packed", "level"))
+            key = matrix(batch.column("key"), WIDTH)
             given = held is not None
             if given:
-                g, c, doc, packed, level = (np.concatenate([[h], x]) for h, x in zip(held[:5], (g, c, doc, packed, level), strict=True))
-            first = np.ones(len(g), bool)
-            first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-            of = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))
+                part, key, doc, packed, level = (np.concatenate([[h], x]) for h, x in zip(held[:5], (part, key, doc, packed, level), strict=True))
+            first = np.ones(len(key), bool)
+            first[1:] = (key[1:] != key[:-1]).any(1)
+            of = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
             copy = ~first & ((doc != doc[of]) | (packed != packed[of]))
             if copy.any():
-                yield out(MARK, g[copy], c[copy], doc[copy], packed[copy])
+                yield batch_of(MARK, part[copy], source_of(doc[of[copy]], packed[of[copy]]), doc[copy], packed[copy])
             # An entry kept by a level that is not merged stays there; equal rows of a merged level replace it here.
-            wanted = np.isin(level, list(merging))
             f = np.flatnonzero(first)
-            keep = wanted[f]
-            fg = g[f]
-            near = np.zeros(len(f), bool)
-            near[1:] |= fg[1:] == fg[:-1]
-            near[:-1] |= fg[1:] == fg[:-1]
-            told = np.zeros(len(f), bool)
+            keep = np.isin(level[f], list(merging))
+            near, told = np.zeros(len(f), bool), np.zeros(len(f), bool)
+            equal = key[f[1:], :DEPTH] == key[f[:-1], :DEPTH]
+            prefix = np.where(equal.all(1), DEPTH, equal.argmin(1))
+            need = np.minimum(DEPTH, length - (packed[f] >> 8 & 255))
+            near[1:] |= prefix >= need[1:]
+            near[:-1] |= prefix >= need[:-1]
             if given:
-                keep[0] = held[5] if len(f) else False
-                told[0] = held[6]
+                keep[0], told[0] = held[5], held[6]
+            else:
+                near[0] = True  # the other side of the border is not seen
             new = near & ~told
-            if new.any():
-                yield out(CANDIDATE, *(x[f][new] for x in (g, c, doc, packed)))
+            if tell and new.any():
+                yield batch_of(CANDIDATE, *(x[f][new] for x in (part, key, doc, packed)))
             done = keep.copy()
             last = f[-1]
             done[-1] = False  # the last one may go on in the next batch
             if done.any():
-                yield out(ENTRY, *(x[f][done] for x in (g, c, doc, packed)))
-            held = (g[last], c[last], doc[last], packed[last], level[last], bool(keep[-1]), bool(near[-1] or told[-1]))
-        if held is not None and held[5]:
-            yield out(ENTRY, *(np.array([x]) for x in held[:4]))
+                yield batch_of(ENTRY, *(x[f][done] for x in (part, key, doc, packed)))
+            held = (part[last], key[last], doc[last], packed[last], level[last], bool(keep[-1]), bool(near[-1] or told[-1]))
+        if held is not None:
+            row = [np.array([x]) for x in held[:4]]
+            if held[5]:
+                yield batch_of(ENTRY, *row)
+            if tell and not held[6]:
+                yield batch_of(CANDIDATE, *row)
 
     return run
 
@@ -163,51 +232,97 @@ def merge_scan(merging: frozenset[int]):
 class RepeatIndex:
     """Levels of sorted entries in the shared folder; add() takes batches in any order of ids."""
 
-    def __init__(self, spark: SparkSession, length: int = 100, k: int = 24, folder: str | None = None):
+    def __init__(self, spark: SparkSession, length: int = 100, k: int = 24, folder: str | None = None, parts: int | None = None):
         self.spark, self.length, self.k, self.folder = spark, length, k, folder or work_dir(spark)
+        self.parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.splits: np.ndarray | None = None
         self.levels: dict[int, str] = {}  # rank -> path; rank r has the entries of 2**r batches
         self.steps: list[str] = []
 
     def _table(self, path: str, kind: int) -> DataFrame:
-        schema = "g long, c long, doc_id long, packed long, level int, kind int"
-        return self.spark.read.schema(schema).parquet(path).where(F.col("kind") == kind).select(*(c.split()[0] for c in ENTRIES.split(", ")))
+        schema = "part int, key binary, doc_id long, packed long, level int, kind int"
+        return self.spark.read.schema(schema).parquet(path).where(F.col("kind") == kind).select(*NAMES)
+
+    def _fit(self, rows: DataFrame, make, most: int = 32) -> np.ndarray:
+        """Split points of the keys that `make` gives for a batch, from some thousand rows and `most` keys of a batch."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in text_batches(batches, 1 << 20):
+                for _, _, key in make(batch):
+                    yield pa.RecordBatch.from_arrays([binaries(key[:: max(1, len(key) // (most * batch.num_rows))])], names=["key"])
+
+        found = np.array([r.key.ljust(WIDTH, b"\0") for r in rows.mapInArrow(run, "key binary").limit(200_000).collect()], f"S{WIDTH}")
+        found = np.unique(found)  # of a passage in very many documents only its different contexts divide ranges
+        at = (np.arange(1, self.parts) * len(found)) // self.parts
+        return np.unique(found[at]) if len(found) else found
+
+    def _scan(self, rows: DataFrame, merging: frozenset[int], path: str, tell: bool = True) -> None:
+        rows.repartitionById(self.parts, F.col("part")).sortWithinPartitions("kind", "key", "doc_id", "packed").mapInArrow(merge_scan(merging, self.length, tell), ENTRIES).write.partitionBy("kind").parquet(path)
+
+    def _entries(self, rows: DataFrame, make, splits: np.ndarray | None) -> DataFrame:
+        """Entries and marks of what `make` gives; without split points ranges go by the digest alone."""
+        parts = self.parts
+
+        def place(key: np.ndarray) -> np.ndarray:
+            if splits is None:
+                return (np.ascontiguousarray(key[:, DEPTH:]).view(">u8").ravel() % np.uint64(parts)).astype(np.int32)
+            return np.searchsorted(splits, np.ascontiguousarray(key).view(f"S{WIDTH}").ravel(), "right").astype(np.int32)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
+            for batch in text_batches(batches, 4 << 20):
+                for doc, packed, key in make(batch):
+                    yield from emit(batch.column("doc_id").to_numpy()[doc], packed, key, place, parts)
+
+        return rows.mapInArrow(run, ENTRIES)
 
     def add(self, docs: DataFrame) -> None:
         """Sample a batch, scan it against all levels and merge the levels of equal rank with it."""
         length, k = self.length, self.k
 
-        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            forget()
-            for batch in text_batches(batches, 4 << 20):
-                doc, first, lead, more, g, c = sample(*strings(batch.column("text")), length, k)
-                yield from emit(batch.column("doc_id").to_numpy()[doc], pack(first, lead, more), g, c)
+        def make(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+            for doc, first, lead, more, key in sampled(batch, length, k):
+                yield doc, pack(first, lead, more), key
 
+        texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+        if self.splits is None:
+            some = max(1, texts.count() // 4000)
+            self.splits = self._fit(texts.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(some)) == 0), make)
         rank = 0
         while rank in self.levels:
             rank += 1
-        rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(entries, ENTRIES)
+        rows = self._entries(texts, make, self.splits)
         for r, path in self.levels.items():
             rows = rows.unionByName(self._table(path, ENTRY).withColumn("level", F.lit(r)))
-        merging = frozenset([-1, *range(rank)])
         path = f"{self.folder}/step{len(self.steps)}"
-        order = ("kind", "g", "c", "doc_id", "packed")
-        rows.repartition("g").sortWithinPartitions(*order).mapInArrow(merge_scan(merging), ENTRIES).write.partitionBy("kind").parquet(path)
+        self._scan(rows, frozenset([-1, *range(rank)]), path)
         for r in range(rank):
             remove(self.spark, f"{self.levels.pop(r)}/kind={ENTRY}")
         self.levels[rank] = path
         self.steps.append(path)
 
-    def marks(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, packed) of all repeated runs of windows in the batches so far; docs are their rows.
+    def spans(self, docs: DataFrame) -> DataFrame:
+        """SPANS, the copies of n bytes found in the batches so far, each with a source; docs are their rows.
 
         Candidates are compared in blocks of windows first, and window by window where blocks differ in part."""
+        length = self.length
         found, near = (self._union(self.steps, kind) for kind in (MARK, CANDIDATE))
         for name, split in (("blocks", blocks), ("windows", single)):
             path = f"{self.folder}/{name}"
-            self._refine(docs, near, split).write.partitionBy("kind").parquet(path)
+            self._refine(docs, near, split, path, split is blocks)
             found, near = found.unionByName(self._table(path, MARK)), self._table(path, CANDIDATE)
             release(self.spark)
-        return found.select("doc_id", "packed")
+        runs = found.groupBy("doc_id").agg(F.collect_set(F.struct("packed", "key")).alias("marks"))  # a document's own: bounded by its text
+        names = [f.split()[0] for f in SPANS.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                marks = batch.column("marks")
+                of = np.repeat(np.arange(batch.num_rows), np.diff(marks.offsets.to_numpy()))
+                packed, key = marks.flatten().flatten()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in join_runs(batch.column("doc_id").to_numpy(), of, packed.to_numpy(), matrix(key, 16).view("<i8"), length)], names=names)
+
+        return runs.mapInArrow(run, SPANS)
 
     def drop_levels(self) -> None:
         """Delete the entries, when no more batches will come; marks and candidates stay."""
@@ -221,27 +336,49 @@ class RepeatIndex:
             out = out.unionByName(self._table(path, kind))
         return out
 
-    def _refine(self, docs: DataFrame, near: DataFrame, split) -> DataFrame:
+    def _refine(self, docs: DataFrame, near: DataFrame, split, path: str, tell: bool) -> None:
         """A merge-scan over what `split` makes of the candidates' runs, from their documents' texts."""
         length = self.length
         per_doc = near.groupBy("doc_id").agg(F.collect_set("packed").alias("runs"))  # a document's own: bounded by its text
 
-        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in text_batches(batches, 4 << 20):
-                data, offsets = strings(batch.column("text"))
-                runs = batch.column("runs")
-                of = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
-                at, start, more, g, c = split(data, offsets[of], runs.flatten().to_numpy(), length)
-                lead = np.zeros(len(start), np.int64)
-                yield from emit(batch.column("doc_id").to_numpy()[of[at]], pack(start - offsets[of[at]], lead, more), g, c)
-
-        rows = only(docs, id_filter(near.select("doc_id"))).join(per_doc, "doc_id").select("doc_id", "text", "runs").mapInArrow(entries, ENTRIES)
-        return rows.repartition("g").sortWithinPartitions("kind", "g", "c", "doc_id", "packed").mapInArrow(merge_scan(frozenset()), ENTRIES)
-
-
-def pack(start: np.ndarray, lead: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """A run in one number: its first window's start, the sample's distance from it, and its windows less one."""
-    return start << 16 | lead << 8 | more
+        def make(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+            data, offsets = strings(batch.column("text"))
+            runs = batch.column("runs")
+            of = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))
+            flat = runs.flatten().to_numpy()
+            fits = offsets[of] + (flat >> 16) + (flat & 255) + length <= offsets[of + 1]  # not so only in another text of one id
+            of, flat = of[fits], flat[fits]
+            for i in range(0, len(of), 20_000):  # runs at a time
+                at, start, more, key = split(data, offsets[of[i : i + 20_000]], flat[i : i + 20_000], length)
+                doc = of[i : i + 20_000][at]
+                yield doc, pack(start - offsets[doc], np.zeros(len(start), np.int64), more), key
+
+        texts = only(docs, id_filter(near.select("doc_id"))).join(per_doc, "doc_id").select("doc_id", "text", "runs")
+        splits = None
+        if tell:
+            some = max(1, per_doc.count() // 4000)
+            splits = self._fit(texts.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(some)) == 0), make)
+        self._scan(self._entries(texts, make, splits), frozenset(), path, tell)
+
+
+def join_runs(doc_id: np.ndarray, of: np.ndarray, packed: np.ndarray, source: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(doc_id, start, n, src, src_start) of the longest spans that marks make: overlapping ones with one source and shift."""
+    order = np.lexsort((source[:, 1], source[:, 0], packed, of))
+    of, packed, source = of[order], packed[order], source[order]
+    first = np.ones(len(of), bool)  # one source of a run is enough
+    first[1:] = (of[1:] != of[:-1]) | (packed[1:] != packed[:-1])
+    of, start, end, src, shift = of[first], packed[first] >> 16, (packed[first] >> 16) + (packed[first] & 255) + length, source[first, 0], (packed[first] >> 16) - source[first, 1]
+    order = np.lexsort((start, shift, src, of))
+    of, start, end, src, shift = (x[order] for x in (of, start, end, src, shift))
+    group = np.ones(len(of), bool)
+    group[1:] = (of[1:] != of[:-1]) | (src[1:] != src[:-1]) | (shift[1:] != shift[:-1])
+    base = np.cumsum(group) << 36
+    reach = np.maximum.accumulate(end + base) - base
+    fresh = group.copy()
+    fresh[1:] |= start[1:] > reach[:-1]
+    a = np.flatnonzero(fresh)
+    b = np.append(a[1:], len(of)) - 1 if len(a) else a
+    return doc_id[of[a]], start[a], reach[b] - start[a], src[a], start[a] - shift[a]
 
 
 def spread(low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,25 +388,25 @@ def spread(low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def blocks(data: np.ndarray, base: np.ndarray, runs: np.ndarray, length: int, step: int = 8) -> tuple[np.ndarray, ...]:
-    """(run index, start, windows - 1, g, c) of blocks of at most `step` windows, cut by their distance from the sample, so
-    equal texts are cut alike. g hashes what all windows of the block share, c the block's whole context."""
+    """(run index, start, windows - 1, key) of blocks of at most `step` windows, cut by their distance from the sample, so
+    equal texts are cut alike. A key begins with what all windows of a block of that place share: its first bytes and
+    its digest; the digest behind is that of the block's whole context."""
     sample_at = base + (runs >> 16) + (runs >> 8 & 255)
     high, more = runs >> 8 & 255, runs & 255
     low = high - more
     at, block = spread(low // step, high // step - low // step + 1)
     near, far = np.maximum(block * step, low[at]), np.minimum(block * step + step - 1, high[at])
     first, last = sample_at[at] - far, sample_at[at] - near
-    one, two = Hashes(data, 2), Hashes(data, 3)
-    salt = mix(block.astype(np.uint64) + np.uint64(1))
-    g = mix(two.at(sample_at[at] - block * step, length - step + 1) ^ salt)
-    c = mix(one.at(first, length) * np.uint64(0xD6E8FEB86659FD93) + one.at(last, length) * np.uint64(0xA0761D6478BD642F) + (near - block * step).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + (last - first).astype(np.uint64))
-    return at, first, last - first, g, c
+    core = sample_at[at] - block * step
+    key = keys(data, core, np.full(len(core), DEPTH - DIGEST), first, last + length)
+    key[:, DEPTH - DIGEST : DEPTH] = digests(data, core, core + length - step + 1)
+    return at, first, last - first, key
 
 
 def single(data: np.ndarray, base: np.ndarray, runs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(run index, start, 0, g, c) of each window, by two hashes of it."""
+    """(run index, start, 0, key) of each window."""
     at, start = spread(base + (runs >> 16), (runs & 255) + 1)
-    return at, start, np.zeros(len(at), np.int64), Hashes(data, 2).at(start, length), Hashes(data, 3).at(start, length)
+    return at, start, np.zeros(len(at), np.int64), keys(data, start, np.full(len(at), length), start, start + length)
 
 
 def only(docs: DataFrame, bitmap: bytes) -> DataFrame:
@@ -282,38 +419,63 @@ def only(docs: DataFrame, bitmap: bytes) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", id_slot("doc_id").alias("slot")).mapInArrow(run, "doc_id long, text string")
 
 
-def repeat_runs(docs: DataFrame, length: int, batches: int) -> tuple[DataFrame, bytes]:
-    """(doc_id, runs) of documents with repeats, and a filter of their ids. Documents arrive in `batches` batches by a
-    hash of their id."""
-    index = RepeatIndex(docs.sparkSession, length)
+def repeat_spans(docs: DataFrame, length: int, batches: int) -> tuple[DataFrame, bytes, str]:
+    """(doc_id, spans) of documents with repeats, spans having a start and its source's bytes; a filter of their ids; and
+    the folder of the index. Documents arrive in `batches` batches by a hash of their id."""
+    spark = docs.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # About three times the text is sorted, in ranges of some 128 MB.
+    index = RepeatIndex(spark, length, parts=max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(3 * n_bytes / batches / (128 << 20))))
     for b in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
-        release(docs.sparkSession)
+        release(spark)
     index.drop_levels()
-    marks = index.marks(docs)
-    return marks.groupBy("doc_id").agg(F.collect_set("packed").alias("runs")), id_filter(marks.select("doc_id"))
-
-
-def covered(n: int, packed: np.ndarray, length: int) -> np.ndarray:
-    """Which of n bytes the runs cover."""
-    cover = np.zeros(n + 1, np.int32)
-    np.add.at(cover, packed >> 16, 1)
-    np.add.at(cover, (packed >> 16) + (packed & 255) + length, -1)
-    return np.cumsum(cover[:-1]) > 0
+    path = f"{index.folder}/spans"
+    index.spans(docs).write.parquet(path)
+    spans = spark.read.schema(SPANS).parquet(path)
+    # Each slice is asked for once, however many documents copy it.
+    asked = spans.select(F.col("src").alias("doc_id"), "src_start", "n").distinct()
+    sources = only(docs, id_filter(spans.select("src"))).join(asked, "doc_id").select(F.col("doc_id").alias("src"), "src_start", "n", F.substring(F.col("text").cast("binary"), F.col("src_start").cast("int") + 1, F.col("n").cast("int")).alias("bytes"))
+    with_bytes = spans.join(sources, ["src", "src_start", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "bytes")).alias("spans"))  # a document's own: bounded by its text
+    return with_bytes, id_filter(spans.select("doc_id")), index.folder
+
+
+def confirmed(text: bytes, spans: pa.Scalar) -> list[tuple[int, int]]:
+    """The spans whose bytes equal their source's, as maximal runs in order."""
+    out: list[tuple[int, int]] = []
+    found = spans.values
+    for start, part in sorted(zip(found.field("start").to_pylist(), found.field("bytes").to_pylist(), strict=True)):
+        end = start + len(part)
+        if not part or text[start:end] != part:
+            continue
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def rest(text: bytes, gone: list[tuple[int, int]]) -> Iterator[bytes]:
+    """What is left of a text."""
+    at = 0
+    for a, b in gone:
+        yield text[at:a]
+        at = b
+    yield text[at:]
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 3) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of docs."""
-    runs, bitmap = repeat_runs(docs, length, batches)
+    spans, bitmap, _ = repeat_spans(docs, length, batches)
     names = [f.split()[0] for f in RESULT.split(", ")]
     kinds = [pa.int64()] * 4 + [pa.string()]
 
-    def finish(doc_id: int | None, text: bytes, packed: np.ndarray | None) -> tuple:
-        if packed is None or not len(packed):
-            return doc_id, len(text), 0, 0, hashlib.sha256(text).hexdigest()
-        gone = covered(len(text), packed, length)
-        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-        return doc_id, len(text), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()
+    def finish(doc_id: int | None, text: bytes, found: pa.Scalar | None) -> tuple:
+        gone = confirmed(text, found) if found is not None and found.is_valid else []
+        digest = hashlib.sha256()
+        for part in rest(text, gone):
+            digest.update(part)
+        return doc_id, len(text), sum(b - a for a, b in gone), len(gone), digest.hexdigest()
 
     def table(rows: list[tuple]) -> dict[str, pa.Array]:
         return {n: pa.array(c, t) for n, c, t in zip(names, zip(*rows, strict=True), kinds, strict=True)}
@@ -330,36 +492,37 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 3) -> Data
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit, rows = batch.column("hit").to_pylist(), list(zip(*(batch.column(n).to_pylist() for n in names), strict=True))
-            texts, found = batch.column("text"), batch.column("runs")
+            texts, found = batch.column("text"), batch.column("spans")
             for i, h in enumerate(hit):
                 if h:
-                    rows[i] = finish(rows[i][0], texts[i].as_buffer().to_pybytes(), found[i].values.to_numpy() if found[i].is_valid else None)
+                    rows[i] = finish(rows[i][0], texts[i].as_buffer().to_pybytes(), found[i])
             if rows:
                 yield pa.RecordBatch.from_pydict(table(rows))
 
     first = docs.select("doc_id", "text", id_slot("doc_id").alias("slot")).mapInArrow(clean, f"{RESULT}, text string, hit boolean")
-    return first.join(runs, "doc_id", "left").mapInArrow(cut, RESULT)
+    return first.join(spans, "doc_id", "left").mapInArrow(cut, RESULT)
 
 
 def cut_repeats(docs: DataFrame, length: int = 100, batches: int = 3) -> DataFrame:
     """docs with the repeats cut from their text, and n_chars to match where there is one. A character that a span cuts
     in two goes; a text that is all repeats becomes empty, and its row stays."""
-    runs, _ = repeat_runs(docs, length, batches)
+    spans, _, _ = repeat_spans(docs, length, batches)
     columns = docs.columns
+    own = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")  # apart from the names used here
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, run in enumerate(batch.column("_runs")):
-                if run.is_valid and texts[i] is not None:
+            row = pa.RecordBatch.from_struct_array(batch.column("row"))
+            at = row.schema.get_field_index("text")
+            texts = row.column(at).to_pylist()
+            for i, found in enumerate(batch.column("spans")):
+                if found.is_valid and texts[i] is not None:
                     data = texts[i].encode()
-                    gone = covered(len(data), run.values.to_numpy(), length)
-                    texts[i] = np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
-            at = batch.schema.get_field_index("text")
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch.select(columns)
+                    texts[i] = b"".join(rest(data, confirmed(data, found))).decode("utf-8", "ignore")
+            yield row.set_column(at, row.schema.field(at), pa.array(texts, row.schema.field(at).type))
 
-    out = docs.join(runs.withColumnRenamed("runs", "_runs"), "doc_id", "left").select(*columns, "_runs").mapInArrow(cut, docs.schema)
+    keyed = docs.select(F.col("doc_id").alias("_id"), own).join(spans.withColumnRenamed("doc_id", "_id"), "_id", "left").select("row", "spans")
+    out = keyed.mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 

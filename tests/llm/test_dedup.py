@@ -4,8 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from quarry.llm import repeats
 from quarry.llm.near_dups import near_duplicates
 from quarry.llm.repeats import RepeatIndex, cut_repeats, remove_repeats
 
@@ -104,6 +107,57 @@ def test_repeated_rows_of_one_arrow_batch_are_no_copies(spark):
     assert [r.text for r in cut_repeats(df).collect() if r.doc_id == 1] == [text, text]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_one_line_in_every_document(spark, parts):
+    rnd = random.Random(7)
+    line = "All rights reserved; this line of a license stands in every document of this test, word for word, and is longer than a window. "
+    rows = [(i, " ".join(str(rnd.random()) for _ in range(rnd.randrange(12))) + line + " ".join(str(rnd.random()) for _ in range(rnd.randrange(12)))) for i in range(120)]
+    got = {r.doc_id: tuple(r)[1:] for r in remove_repeats(frame(spark, rows).repartition(parts)).collect()}
+    assert got == brute_repeats(rows)
+
+
+def test_only_equal_bytes_are_cut():
+    spans = pa.array([[{"start": 2, "bytes": b"cde"}, {"start": 4, "bytes": b"ef"}, {"start": 7, "bytes": b"!!"}, {"start": 9, "bytes": b"jkl"}]])
+    assert repeats.confirmed(b"abcdefghij", spans[0]) == [(2, 6)]
+    assert b"".join(repeats.rest(b"abcdefghij", [(2, 6)])) == b"abghij"
+
+
+def test_rows_of_one_id_with_other_texts_do_not_crash(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (1, "other " + text), (1, "short"), (2, text)]
+    out = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in remove_repeats(frame(spark, rows).coalesce(1)).collect())
+    assert [r[:2] for r in out] == sorted((d, len(t)) for d, t in rows) and out[-1] == (2, len(text), len(text))
+
+
+def test_segments_hold_every_window_once():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 101, 2 * repeats.SEGMENT + 5000, dtype=np.uint8).tobytes()
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([data.decode()])})
+    starts = np.concatenate([repeats.spread(first, more + 1)[1] for _, first, _, more, _ in repeats.sampled(batch, 100, 24)])
+    assert len(starts) == len(data) - 99 and np.array_equal(np.sort(starts), np.arange(len(starts)))
+
+
+def test_neighbours_need_a_long_common_prefix():
+    def row(suffix, digest, doc, lead):
+        return suffix.ljust(32, b"\0") + digest, doc, lead << 8
+
+    a, b, c = (b"a" * 32, b"%08d" % 1, 1, 10), (b"a" * 32, b"%08d" % 2, 2, 10), (b"a" * 30 + b"xx", b"%08d" % 3, 3, 76)
+    keys, docs, packed = zip(*(row(*r) for r in (a, b, c, (b"b" * 32, b"%08d" % 4, 4, 10), (b"c" * 32, b"%08d" % 5, 5, 10))), strict=True)
+    matrix = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, repeats.WIDTH)
+    batch = repeats.batch_of(repeats.ENTRY, np.zeros(5), matrix, np.array(docs), np.array(packed), -1)
+    out = [x for x in repeats.merge_scan(frozenset([-1]), 100)(iter([batch.slice(0, 2), batch.slice(2)]))]
+    near = sorted(d for x in out if x.column("kind")[0].as_py() == repeats.CANDIDATE for d in x.column("doc_id").to_pylist())
+    assert near == [1, 2, 3, 5]  # 3 needs 24 bytes only; 5 ends the range; 4 is like nothing
+    assert sorted(d for x in out if x.column("kind")[0].as_py() == repeats.ENTRY for d in x.column("doc_id").to_pylist()) == [1, 2, 3, 4, 5]
+
+
+def test_cut_text_with_clashing_columns(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, 1, "r", 2, "s"), (2, text, 3, "r", 4, "s")], "doc_id long, text string, _id int, row string, spans int, _runs string")
+    out = {r.doc_id: tuple(r) for r in cut_repeats(df).collect()}
+    assert out == {1: (1, text, 1, "r", 2, "s"), 2: (2, "", 3, "r", 4, "s")} and cut_repeats(df).schema == df.schema
+
+
 def test_cut_text_is_valid_and_keeps_columns(spark):
     text = "é" * 120
     df = frame(spark, [(1, text), (2, "a" + text), (None, text), (4, None)])
