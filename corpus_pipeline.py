@@ -6,8 +6,8 @@
 4. decontaminate: documents with a passage of a benchmark item go.
 5. packing: the rest is packed into sequences of 1024 tokens.
 
-Nulls, repeats and empty tables are treated as the operators state; rows without a doc_id pass every filter that
-works by id.
+Nulls, repeats and empty tables are treated as the operators state: rows without a doc_id have no near copies and no
+repeats, and are judged by their text in stages 1 and 4.
 """
 
 from __future__ import annotations
@@ -33,8 +33,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

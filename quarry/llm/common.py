@@ -20,20 +20,26 @@ _own: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share, spark.checkpoint.dir; only where that is unset, as in a
-    plain local session, in a temporary one."""
+    """A new folder in the one that driver and executors share, spark.checkpoint.dir; only where that is unset and the
+    session is local, in a temporary one. It is deleted when the session's JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and (known := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         base = known.get()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
     if not base:
         _own[:] = _own or [f"file://{tempfile.mkdtemp(prefix='quarry-')}"]
         base = _own[0]
-    return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    fs, p = hadoop_path(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """df, written to the shared folder and read back: cuts lineage and survives the loss of executors."""
-    path = path or work_dir(df.sparkSession)
+    path = path or f"{work_dir(df.sparkSession)}/step"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,7 @@
 
 A text's features are its words and pairs of neighbouring words, hashed into 2**bits slots; the score is a
 sparse dot product through the logistic function. A word is a run of letters, digits and marks or a run of
-punctuation, with A-Z in lower case; runs of equal characters past three count as three, and a word equal to the one before
+punctuation, in lower case; runs of equal characters past three count as three, and a word equal to the one before
 counts as a repeat mark, so that the model can learn repetition as such. Case and length shapes of words are
 hashed as words too. Each feature counts by its share of the text, scaled by sqrt, so length has no weight of
 its own.

@@ -10,8 +10,9 @@ the path to a position only with a strictly higher score, scores being summed fr
 A character that is no piece itself may be passed as unknown for the lowest score of the vocabulary less 10; with
 byte fallback it counts as its UTF-8 bytes, without it a run of such characters counts as one piece.
 
-Edge cases: null and empty texts have 0 tokens; long words take time in proportion to their length; repeated
-rows and null ids get a row each; other columns of the input are ignored.
+Edge cases: null and empty texts have 0 tokens; a word longer than LONG is solved in a window of the longest piece, so
+it takes time in proportion to its length and no memory beyond its text; repeated rows and null ids get a row each;
+an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from .common import memo, text_batches
 
 SPACE = "▁"
+LONG = 1000
 PENALTY = 10.0
 SCHEMA = "doc_id long, n_tokens long, n_words long"
 
@@ -53,9 +55,10 @@ class Counter(dict):
             self.automaton.add_word(piece, (len(piece), s))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - PENALTY
+        self.longest = max(len(piece) for piece, _ in vocabulary)
 
     def __missing__(self, word: str) -> int:
-        n = self.count(word)
+        n = self.count(word) if len(word) <= LONG else self.count_long(word)
         if len(word) <= 64:
             if len(self) >= self.most:
                 self.clear()
@@ -88,6 +91,38 @@ class Counter(dict):
                 pieces[end + 1], open_run[end + 1] = pieces[start] + (not open_run[start]), True
         return pieces[-1]
 
+    def count_long(self, word: str) -> int:
+        """count() with the state of the last `longest` positions only, in a ring; matches come in order of their ends."""
+        size = self.longest + 1
+        best, pieces, open_run = [0.0] * size, [0] * size, [False] * size
+        matches = self.automaton.iter(word)
+        ahead = next(matches, None)
+        for end, letter in enumerate(word):
+            found, single = [], False
+            while ahead is not None and ahead[0] == end:
+                found.append(ahead[1])
+                single |= ahead[1][0] == 1
+                ahead = next(matches, None)
+            top, start, known = None, -1, True
+            for length, s in sorted(found, reverse=True):  # the leftmost start first
+                at = best[(end + 1 - length) % size] + s
+                if top is None or at > top:
+                    top, start = at, end + 1 - length
+            if not single:
+                at = self.unknown + best[end % size]
+                if top is None or at > top:
+                    top, start, known = at, end, False
+            here, there = (end + 1) % size, start % size
+            n, was_open = pieces[there], open_run[there]
+            best[here], open_run[here] = top, False
+            if known:
+                pieces[here] = n + 1
+            elif self.byte_fallback:
+                pieces[here] = n + len(letter.encode("utf-8", "surrogatepass"))
+            else:
+                pieces[here], open_run[here] = n + (not was_open), True
+        return pieces[len(word) % size]
+
     def text(self, text: str) -> tuple[int, int]:
         """(tokens, words) of a whole text."""
         if not text:

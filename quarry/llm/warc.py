@@ -2,7 +2,7 @@
 
 write_archives() stores each page as a gzip member of its own, a repeated payload as a revisit of the page with
 the largest id. build_index() sorts the captures by reversed-host URL key into compressed blocks and keeps a
-sparse directory of the blocks' first and last keys. lookup() binary-searches directory and block before it reads
+sparse directory of the blocks' first and last keys and the bytes of their records. lookup() binary-searches directory and block before it reads
 the record's byte range; read_all() goes from the blocks to every record.
 
 Files are written by executors through pyarrow's file systems (file, hdfs, s3, gs), under names unique to the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 CAPTURES = "page_id long, key string, file string, offset long, length long, digest string"
-DIRECTORY = "first_key string, last_key string, file string, offset long, length long, lines int"
+DIRECTORY = "first_key string, last_key string, file string, offset long, length long, lines int, bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -131,7 +131,7 @@ def build_index(captures: DataFrame, folder: str, lines: int = 1024) -> DataFram
                 store.create_dir(path.rpartition("/")[0], recursive=True)
                 out = store.open_output_stream(path, compression=None)
             out.write(data)
-            rows.append((held[0][0], held[-1][0], name, at, len(data), len(held)))
+            rows.append((held[0][0], held[-1][0], name, at, len(data), len(held), sum(x[4] for x in held)))
             at, held = at + len(data), []
 
         for batch in batches:
@@ -143,7 +143,7 @@ def build_index(captures: DataFrame, folder: str, lines: int = 1024) -> DataFram
             flush()
         if out:
             out.close()
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in DIRECTORY.split(", ")])
 
     ordered = captures.select("key", "page_id", "file", "offset", "length").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
@@ -162,8 +162,10 @@ def _range(cache: dict, name: str, offset: int, length: int) -> bytes:
     return cache[name].read_at(length, offset)
 
 
-def read_all(directory: DataFrame, payloads: bool = False) -> DataFrame:
-    """Every record that the index knows, read back from the archives by byte range, in file order within a task."""
+def read_all(directory: DataFrame, payloads: bool = False, slab: int = 4 << 20) -> DataFrame:
+    """Every record that the index knows, read back from the archives by byte range, in file order within a task.
+
+    A task reads some slabs, stretches of one file, so tasks grow with the bytes of the records, not with the pointers."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict = {}
@@ -183,8 +185,10 @@ def read_all(directory: DataFrame, payloads: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=[f.split()[0] for f in RECORDS.split(", ")])
 
     places = directory.select("file", "offset", "length").mapInArrow(blocks, "file string, offset long, length long")
-    slab = F.col("offset").bitwiseAND(F.lit(-(1 << 26)))  # 64 MB of one file to a task
-    return places.repartition("file", slab).sortWithinPartitions("file", "offset").mapInArrow(records, RECORDS)
+    total = directory.agg(F.sum("bytes")).first()[0] or 0
+    bits = max(slab.bit_length() - 1, int(total // 20_000).bit_length())  # larger where that would make too many tasks
+    # A number of partitions that is asked for is not coalesced by the size of the pointers.
+    return places.repartition(max(1, -(-total // (1 << bits))), "file", F.shiftright("offset", bits)).sortWithinPartitions("file", "offset").mapInArrow(records, RECORDS)
 
 
 def lookup(spark: SparkSession, directory: DataFrame, url: str) -> list[tuple]:

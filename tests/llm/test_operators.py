@@ -1,12 +1,16 @@
 """Corpus operators against the libraries, brute force and round trips."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import catalog, decontaminate, packing, quality, shards, token_counts, topk, warc
@@ -51,6 +55,18 @@ def test_counts_equal_the_librarys_ties_included(byte_fallback):
             assert counter.text(text)[0] == (len(library.encode(text).ids) if text else 0), text
 
 
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_long_words_in_a_window(byte_fallback):
+    rnd = random.Random(6)
+    ties = [("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("ba", -2.0), ("aba", -3.0), ("▁a", -2.0), ("bb", -1.5)]
+    for vocabulary, letters in ((ties, "abé"), (token_counts.zipf_vocabulary(PIECES), "ab日c😀\x00éztheingst")):
+        counter = token_counts.Counter(vocabulary, byte_fallback)
+        for n in [0, 1, 2, 3, 17, 200, 3000] * 3:
+            word = "▁" + "".join(rnd.choice(letters) for _ in range(n))
+            assert counter.count_long(word) == counter.count(word)
+    assert counter.text("the" * 400_000)[1] == 1
+
+
 def test_count_query(spark, sf):
     texts = corpus(spark, sf) + ODD
     library = unigram(token_counts.zipf_vocabulary(PIECES), True)
@@ -137,14 +153,21 @@ def test_packed_rows_give_the_documents_back(spark, sf):
     texts = corpus(spark, sf)[:40] + ODD
     want = encoded(texts, 50256)
     parts: dict[int, list] = {}
-    for r in packing.pack_ids(docs(spark, texts), BPE, capacity=128, group_docs=15).collect():
+    packed = packing.pack_ids(docs(spark, texts), BPE, capacity=128, group_docs=15)
+    folder = work_dir(spark)
+    files = packing.write_matrices(packed, folder, rows_per_file=7)
+    rows = packing.read_matrices(files).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, packed.collect())) and files.count() > 1 and files.agg(F.sum("rows")).first()[0] == len(rows)
+    for r in rows:
         ids, places = np.frombuffer(r.input_ids, "<u2"), np.frombuffer(r.position_ids, "<u2")
         assert len(ids) == len(places) == 128 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens
-        for d, a, b in zip(r.doc_ids, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
+        assert set(ids[r.n_tokens :].tolist()) <= {50256}
+        for d, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
             assert places[a:b].tolist() == list(range(b - a))
-            parts.setdefault(d, []).append(ids[a:b].tolist())
-    for d, w in enumerate(want):  # pieces of a document are full ones and one rest; any order of equal parts will do
-        assert sorted(parts[d]) == sorted(w[i : i + 128] for i in range(0, len(w), 128))
+            parts.setdefault(d, []).append((start, ids[a:b].tolist()))
+    assert any(len(p) > 3 for p in parts.values())
+    for d, w in enumerate(want):  # in the order of their starts
+        assert [x for _, p in sorted(parts[d]) for x in p] == w and all(start % 128 == 0 for start, _ in parts[d])
 
 
 def test_packing_of_repeats_nulls_and_nothing(spark):
@@ -152,6 +175,13 @@ def test_packing_of_repeats_nulls_and_nothing(spark):
     assert sorted((r.doc_id is None, r.length) for r in rows) == [(False, 3), (False, 3), (True, 1)]
     assert packing.pack_pieces(docs(spark, ["a"]).where("false"), BPE).count() == 0
     assert packing.pack_ids(docs(spark, ["a"]).where("false"), BPE).count() == 0
+    assert packing.write_matrices(packing.pack_ids(docs(spark, ["a"]).where("false"), BPE), work_dir(spark)).count() == 0
+
+
+def test_equal_rows_and_null_ids_fill_no_group(spark):
+    frame = docs(spark, ["a b"] * 200 + [f"x {i}" for i in range(200)], ids=[None] * 400).coalesce(1)
+    found = packing.grouped(packing.pieces(frame, BPE, 1024, 0, False), 400, 40, 17)
+    assert found.count() == 400 and max(r["count"] for r in found.groupBy("grp").count().collect()) < 80
 
 
 # --- decontamination
@@ -196,11 +226,16 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.decontaminate(frame.where("false"), bench).count() == 0
 
 
-def test_decontamination_does_not_search_rows_without_id(spark):
+def test_decontamination_searches_every_row_for_itself(spark):
     bench = spark.createDataFrame([(1, "the whole passage")], "item_id long, text string")
-    frame = docs(spark, ["see the whole passage", "see the whole passage"], ids=[None, 4])
-    got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in decontaminate.decontaminate(frame, bench).collect()}
-    assert got == {None: (4, 0, False), 4: (4, 3, True)}
+    texts = ["see the whole passage", "see the whole passage", "clean", None, "the whole passage", "nothing"]
+    frame = docs(spark, texts, ids=[None, 4, None, None, 7, 7])
+    for most in (1000, 0):
+        for df in (frame, frame.coalesce(1)):
+            got = sorted((r.doc_id or -1, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.decontaminate(df, bench, most=most).collect())
+            assert got == [(-1, 0, 0, False), (-1, 1, 0, False), (-1, 4, 3, True), (4, 4, 3, True), (7, 1, 0, False), (7, 3, 3, True)]
+        kept = decontaminate.clean(frame, bench, most=most)
+        assert kept.columns == frame.columns and sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, ""), (-1, "clean"), (7, "nothing")]
 
 
 # --- top k
@@ -211,17 +246,17 @@ def test_top_k_against_brute_force(spark, block):
     rng = np.random.default_rng(9)
     vectors = [(i, [float(x) for x in rng.normal(size=6) / 3]) for i in range(150)]
     vectors += [(200 + i, [0.25, 0.5, -0.1, 0.0, 0.3, 0.2]) for i in range(90)]
-    vectors += [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (404, [1.0]), (405, []), (None, [0.1] * 6), (20, [-9.0] * 6)]
+    vectors += [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (404, [1.0]), (405, []), (None, [0.1] * 6), (20, [-9.0] * 6), (21, [9.0] * 6), (22, [0.1] * 6), (22, [0.1] * 6), (406, [3e38] * 6)]
     df = spark.createDataFrame([(i, v, 1, 2.0, 3) for i, v in vectors], "vec_id long, embedding array<float>, cell int, far double, rank int")
     whole = {}
     for i, v in vectors:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(64 * float(np.float32(x)))) for x in v] + [0] * (6 - len(v))
-            whole[i] = min(whole.get(i, q), q)
+            q = [min(topk.MOST, int(np.floor(64 * float(np.float32(x))))) for x in v] + [0] * (6 - len(v))
+            whole.setdefault(i, []).append(q)
     want = set()
     for i in whole:
-        if i % 20 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(whole[i], v, strict=True)), j) for j, v in whole.items() if j != i))[:20]
+        if i % 20 == 0:  # of several vectors under one id the best score counts
+            best = sorted(((-max(sum(a * b for a, b in zip(p, q, strict=True)) for p in whole[i] for q in v), j) for j, v in whole.items() if j != i))[:20]
             want |= {(i, n, j, -s) for n, (s, j) in enumerate(best, 1)}
     out = topk.top_k(df, F.col("vec_id") % 20 == 0, pivots=8, block=block)
     assert {tuple(r) for r in out.collect()} == want
@@ -230,6 +265,13 @@ def test_top_k_against_brute_force(spark, block):
     assert [(r.query_id, r["rank"]) for r in few.orderBy("rank").collect()] == [(20, 1), (20, 2)]
 
 
+def test_vectors_go_only_to_blocks_that_ask(spark):
+    placed = spark.createDataFrame([(i, [i], i % 3) for i in range(90)], "vec_id long, v array<bigint>, cell int")
+    by = spark.createDataFrame([(0, 2, 4), (1, 1, 1)], "cell int, chunks int, parts int")  # no query asks for cell 2
+    rows = topk.sent(placed, by).groupBy("cell").agg(F.count("*"), F.countDistinct("vec_id"), F.countDistinct("chunk", "part")).collect()
+    assert sorted(map(tuple, rows)) == [(0, 120, 30, 8), (1, 30, 30, 1)]
+
+
 # --- WARC
 
 
@@ -253,6 +295,8 @@ def test_warc_round_trip_and_lookup(spark, sf):
     assert sorted(r[0] for r in warc.lookup(spark, directory, "https://a.EXAMPLE.org/x?y")) == [9001, 9003]
     assert warc.lookup(spark, directory, "http://nothing/") == []
     assert warc.round_trip(df.where("false"), work_dir(spark)).count() == 0
+    one, many = warc.read_all(directory), warc.read_all(directory, slab=8192)
+    assert one.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() > 5 and many.count() == len(pages)
 
 
 # --- shards
@@ -273,11 +317,35 @@ def test_shards_compact_and_commit(spark):
     assert store.read(1).count() == 151
     with pytest.raises(shards.CommitConflict):
         store._commit(version - 1, before)
+    (spark.range(3).write.parquet(f"{store.root}/data/failed"))  # what a writer that died has left
+    store.vacuum(older_than_s=3600)
+    assert spark.read.parquet(f"{store.root}/data/failed").count() == 3
     store.vacuum()
-    assert store.read().count() == 601
+    assert store.read().count() == 601 and store.oldest() == store.version()
+    left = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{store.root}/data").count()
+    assert left == store.manifest().count()
+    with pytest.raises(ValueError):
+        store.read(1)
     assert store.append(df.where("false")) == store.version() and store.read().count() == 601
 
 
+def test_of_two_writers_one_commits_and_the_other_tries_again(spark):
+    store = shards.ShardStore(spark, work_dir(spark))
+    store.append(spark.range(5).coalesce(1))
+    files, schema = store.manifest(1), store.schema(1)
+
+    def commit(_):
+        try:
+            return store._commit(1, files, schema)
+        except shards.CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(commit, range(4)), key=str) == [2, None, None, None]
+        versions = sorted(pool.map(lambda i: store.append(spark.range(10 * i, 10 * i + 3).coalesce(1)), range(1, 5)))
+    assert versions == [3, 4, 5, 6] and store.read().count() == 5 + 4 * 3
+
+
 def test_shards_of_an_empty_table(spark, tmp_path):
     from quarry.llm import catalog
 
@@ -310,6 +378,56 @@ def test_quality_on_held_out_rows(spark):
     assert out.score.between(0, 1).all()
 
 
+def naive_ftrl(rows, bits, alpha=0.5, beta=1.0, l1=0.02, l2=0.1, updates=36_000, weight_0=3.0):
+    """The published update, one feature at a time, in plain Python."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(min(100, math.ceil(updates / len(rows)))):
+        for slots, values, label in rows:
+            x = [*zip(slots.tolist(), values.tolist(), strict=True), (1 << bits, 1.0)]
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x)))
+            for i, v, w in [(i, v, weight(i)) for i, v in x]:
+                g = (p - label) * (1.0 if label else weight_0) * v
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w, n.get(i, 0.0) + g * g
+    return np.array([weight(i) for i in range((1 << bits) + 1)])
+
+
+def naive_features(text, bits):
+    """Counts of words, pairs, shapes and pairs of shapes, each hashed as the operator says, by a plain loop."""
+    words = re.findall(r"\w+|[^\w\s]+", text)
+    mask, mark = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    low = [xxhash.xxh64_intdigest(re.sub(r"(.)\1{3,}", r"\1\1\1", w.lower())) for w in words]
+    one = [mark if i and low[i] == low[i - 1] else h for i, h in enumerate(low)]
+    shape = [xxhash.xxh64_intdigest("\0" + ("U" if w.isupper() and len(w) > 1 else "T" if w[:1].isupper() else "l" if w.isalpha() else "d" if w.isdigit() else "p")) for w in words]
+    every = one + [(a * 0x9DDFEA08EB382D69 + b) & mask for a, b in zip(one, one[1:], strict=False)]
+    every += shape + [(a * 0xD6E8FEB86659FD93 + b) & mask for a, b in zip(shape, shape[1:], strict=False)]
+    counts = collections.Counter((((h ^ h >> 32) * 0xFF51AFD7ED558CCD) & mask) >> (64 - bits) for h in every)
+    norm = math.sqrt(sum(c / len(words) for c in counts.values())) if words else 1
+    return {s: math.sqrt(c / len(words)) / norm for s, c in counts.items()}
+
+
+def test_ftrl_and_scores_equal_naive_ones(spark, sf):
+    texts = corpus(spark, sf)[:40] + ODD
+    for t in texts:
+        slots, values = quality.features(t or "", 12)
+        assert dict(zip(slots.tolist(), values.tolist(), strict=True)) == pytest.approx(naive_features(t or "", 12))
+    labels = [(i, i % 3 > 0) for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    frame = docs(spark, texts)
+    weights = quality.train(frame, spark.createDataFrame([(i, int(y)) for i, y in labels], "doc_id long, quality int"), bits=12)
+    # The order of updates is that of the ids' hashes, as Spark has them.
+    order = [r.doc_id for r in spark.createDataFrame([(i,) for i, _ in labels], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    rows = [(*(x.astype(t) for x, t in zip(quality.features(texts[i] or "", 12), (np.int32, np.float32), strict=True)), int(dict(labels)[i])) for i in order]
+    assert weights == pytest.approx(naive_ftrl(rows[:], 12, updates=36_000), abs=1e-6)
+    got = {r.doc_id: r.score for r in quality.score(frame, weights).collect()}
+    want = {i: 1 / (1 + math.exp(-weights[-1] - sum(v * weights[s] for s, v in naive_features(t or "", 12).items()))) for i, t in enumerate(texts)}
+    assert got == pytest.approx(want, abs=1e-5)
+
+
 def test_quality_of_odd_rows(spark):
     frame = docs(spark, ODD)
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
