@@ -1,12 +1,14 @@
 """Facts from source text: one Arrow table function gives symbols, types, routes, imports and models in one pass.
 
 Each language registers a function (Source) -> rows. A file that cannot be read gives a row of kind `error`
-instead of failing the task."""
+instead of failing the task, beside what patterns still find in it."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ from .. import schemas
 
 EXTRACTORS: dict[str, Callable] = {}
 #: How many languages register; with fewer, some module is not loaded yet.
-LANGUAGES = 13
+LANGUAGES = 14
 
 
 @dataclass
@@ -31,9 +33,14 @@ class Source:
     framework: str = "generic"
     masked: str = ""
     rows: list[dict] = field(default_factory=list)
+    sources: set[str] = field(default_factory=set)
+
+    @cached_property
+    def newlines(self) -> list[int]:
+        return [i for i, c in enumerate(self.text) if c == "\n"]
 
     def line(self, at: int) -> int:
-        return self.text.count("\n", 0, at) + 1
+        return bisect_left(self.newlines, at) + 1
 
     def add(self, kind: str, at: int | None, name: str, what: str = "", detail: str = "", exported: bool = False, extra: str = "", line: int | None = None, fields: list | None = None, model_fields: list | None = None) -> None:
         self.rows.append({"kind": kind, "file_path": self.path, "language": self.language, "seq": len(self.rows), "line": line or (self.line(at) if at is not None else 1), "name": name, "what": what, "detail": detail, "exported": exported, "extra": extra, "fields": fields or [], "model_fields": model_fields or []})
@@ -47,10 +54,11 @@ class Source:
     def route(self, at: int | None, method: str, path: str, framework: str, handler: str = "", auth: bool = False) -> None:
         self.add("route", at, path, method, handler, auth, framework)
 
-    def imported(self, at: int, source: str, external: bool) -> None:
+    def imported(self, at: int | None, source: str, external: bool, line: int | None = None) -> None:
         """The first import of each source counts."""
-        if source and not any(r["kind"] == "import" and r["name"] == source for r in self.rows):
-            self.add("import", at, source, exported=external)
+        if source and source not in self.sources:
+            self.sources.add(source)
+            self.add("import", at, source, exported=external, line=line)
 
 
 def extractor(*languages: str) -> Callable:
@@ -80,7 +88,7 @@ def extract(path: str, language: str, text: str, framework: str = "generic") ->
 
 def register() -> None:
     """Load the languages. Done on the driver, so that executors get the full registry with the function."""
-    from . import dotnet, go_rust, jvm, php_ruby, py, web  # noqa: F401
+    from . import dotnet, go_rust, jvm, php_ruby, prisma, py, web  # noqa: F401
 
 
 def facts(files: DataFrame, framework: str = "generic") -> DataFrame:

@@ -10,6 +10,15 @@ from .mask import FILL, block, mask
 MODIFIERS = r"((?:\b(?:public|private|protected|internal|static|sealed|abstract|partial|virtual|override|async|readonly|new)\s+)*)"
 
 
+#: What may stand between a route's attribute and its method's name: its end, other attributes, modifiers and types.
+HANDLER = re.compile(r"[^\]]*\](?:\s*\[[^\]]*\])*\s*(?:[\w.?]+(?:<[^(){};]*?>)?(?:\[\])?\??\s+)+(\w+)\s*(?:<[^>]+>)?\s*\(")
+
+
+def handler(masked: str, at: int) -> str:
+    found = HANDLER.match(masked, at)
+    return found[1] if found else ""
+
+
 def join(base: str, path: str) -> str:
     b, p = base.removesuffix("/"), path.removeprefix("/")
     return "/" + (f"{b}/{p}" if b and p else b or p)
@@ -31,9 +40,9 @@ def csharp(s: Source) -> None:
     prefix = text[base.start(1) : base.end(1)] if base else ""
     for m in re.finditer(rf'\[\s*Http(Get|Post|Put|Patch|Delete|Head|Options)\s*(?:\(\s*(?:"({FILL}*)")?[^)]*\))?', masked):
         path = text[m.start(2) : m.end(2)] if m[2] is not None else ""
-        s.route(m.start(), m[1].upper(), join(prefix, path), "aspnet")
+        s.route(m.start(), m[1].upper(), join(prefix, path), "aspnet", handler(masked, m.end()))
     if first:
         for m in re.finditer(rf'\[\s*Route\s*\(\s*"({FILL}*)"', masked[first.end() :]):
-            s.route(first.end() + m.start(), "ALL", join(prefix, text[first.end() + m.start(1) : first.end() + m.end(1)]), "aspnet")
+            s.route(first.end() + m.start(), "ALL", join(prefix, text[first.end() + m.start(1) : first.end() + m.end(1)]), "aspnet", handler(masked, first.end() + m.end()))
     for m in re.finditer(r"^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;", masked, re.M):
         s.imported(m.start(), m[1], True)

@@ -22,6 +22,11 @@ def join_kotlin(base: str, path: str) -> str:
     return f"{b}/{p}" if b and p else b or f"/{p}"
 
 
+#: What may stand between a mapping and its method's name: other annotations, modifiers and types.
+ANNOTATIONS = r"(?:\s*@[\w.]+(?:\s*\((?:[^()]|\([^()]*\))*\))?)*\s*"
+HANDLER = {"java": re.compile(ANNOTATIONS + r"(?:[\w.?]+(?:<[^(){};]*?>)?(?:\[\])*\s+)+(\w+)\s*\("), "kotlin": re.compile(ANNOTATIONS + r"(?:\w+\s+)*?fun\s+(?:<[^>]+>\s*)?(\w+)\s*\(")}
+
+
 def spring(s: Source, masked: str, join) -> None:
     """Mapping annotations; those before the file's first class give the prefix."""
     base, found = "", []
@@ -35,9 +40,10 @@ def spring(s: Source, masked: str, join) -> None:
             base = base or path
         else:
             verb = re.search(r"RequestMethod\s*\.\s*(\w+)", masked[a:b])
-            found.append((m.start(), m[1].upper() if m[1] != "Request" else verb[1] if verb else "ALL", path))
-    for at, method, path in found:
-        s.route(at, method, join(base, path), "spring")
+            handler = HANDLER[s.language].match(masked, b + 1 if b else m.end())
+            found.append((m.start(), m[1].upper() if m[1] != "Request" else verb[1] if verb else "ALL", path, handler[1] if handler else ""))
+    for at, method, path, handler in found:
+        s.route(at, method, join(base, path), "spring", handler)
 
 
 @extractor("java")

@@ -55,6 +55,3 @@ def block(masked: str, start: int, opening: str = "{", closing: str = "}") -> tu
             return at + 1, m.start()
     return at + 1, len(masked)
 
-
-def line_of(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from . import Source, extractor
 from .py import AUDIT_COLUMNS
 
 #: Scalar types; any other capitalised type is a relation.
@@ -26,3 +27,9 @@ def prisma_models(text: str) -> list[dict]:
             fields.append({"name": f[1], "type": f[2] + (f[3] or ""), "required": not f[4], "is_relation": linked or (f[2][0].isupper() and f[2] not in SCALARS), "attributes": marks})
         out.append({"name": m[1], "fields": fields})
     return out
+
+
+@extractor("prisma")
+def prisma(s: Source) -> None:
+    for m in prisma_models(s.text):
+        s.add("model", None, m["name"], "prisma", model_fields=m["fields"])

@@ -6,6 +6,7 @@ import ast
 import re
 
 from . import Source, extractor, field_row
+from .mask import mask
 
 #: Columns that an ORM keeps itself.
 AUDIT_COLUMNS = {"createdAt", "updatedAt", "deletedAt", "isDeleted", "created_at", "updated_at", "deleted_at", "is_deleted"}
@@ -61,7 +62,11 @@ def decorated(s: Source, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
 
 @extractor("python")
 def python(s: Source) -> None:
-    tree = ast.parse(s.text)
+    try:
+        tree = ast.parse(s.text)
+    except (SyntaxError, ValueError, RecursionError):
+        by_patterns(s)
+        raise
     models_file = bool(re.search(r"(^|/)models(\.py\Z|/)", s.path))
     for node in tree.body:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -82,14 +87,19 @@ def python(s: Source) -> None:
             s.add("route", None, p if p.startswith("/") else f"/{p}", "ALL", extra="django", line=node.lineno)
         elif isinstance(node, ast.Import):
             for a in node.names:
-                s.imported(_at(s.text, node), a.name, True)
+                s.imported(None, a.name, True, node.lineno)
         elif isinstance(node, ast.ImportFrom):
             source = "." * node.level + (node.module or "")
-            s.imported(_at(s.text, node), source, not node.level)
-
-
-def _at(text: str, node: ast.AST) -> int:
-    at = 0
-    for _ in range(node.lineno - 1):
-        at = text.index("\n", at) + 1
-    return at
+            s.imported(None, source, not node.level, node.lineno)
+
+
+def by_patterns(s: Source) -> None:
+    """Top-level functions, classes and imports of a file that does not parse, from its masked text."""
+    masked = mask(s.text, "python")
+    for m in re.finditer(r"^(?:async[ \t]+)?(def|class)[ \t]+(\w+)", masked, re.M):
+        s.symbol(m.start(), m[2], "function" if m[1] == "def" else "class", exported=not m[2].startswith("_"))
+    for m in re.finditer(r"^[ \t]*(?:from[ \t]+(\.*[\w.]*)[ \t]+import\b|import[ \t]+([\w., \t]+))", masked, re.M):
+        if m[1]:
+            s.imported(m.start(), m[1], not m[1].startswith("."))
+        for name in re.findall(r"([\w.]+)(?:[ \t]+as[ \t]+\w+)?[ \t]*(?:,|\Z)", (m[2] or "").strip()):
+            s.imported(m.start(), name, True)

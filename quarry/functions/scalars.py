@@ -169,6 +169,15 @@ def entry_role(path: Text) -> Column:
             .when(p.contains("middleware"), "Middleware").when(p.startswith("layout"), "Layout").when(p.startswith("index"), "Index").otherwise("Entry point"))
 
 
+def tree_annotation(path: Text, framework: str, entry_points: tuple[str, ...] = ()) -> Column:
+    """entry, route or schema, the first that holds for a file of a project of some framework; else null."""
+    p = _c(path)
+    routes = {"nextjs-app": p.contains("/route.") | p.contains("/page."), "nextjs-pages": p.startswith("pages/"), "astro": p.startswith("src/pages/"), "django": p.endswith("urls.py")}
+    routes["nextjs-both"] = routes["nextjs-app"]
+    schema = p.contains("schema.prisma") | p.contains("models.py") | p.endswith(".entity.ts") | p.contains("drizzle/schema")
+    return F.when(p.isin(*entry_points) if entry_points else F.lit(False), "entry").when(routes.get(framework, F.lit(False)), "route").when(schema, "schema")
+
+
 def parse_actions(options: Text, key: str) -> Column:
     """The names in `key: [..]` of a resource's options, up to ` do`; null where there is no such list.
     %i[..], and a single :name, are read too."""

@@ -8,7 +8,7 @@ import stat
 MARK = "# quarry: refresh the index"
 
 
-def install(root: str, command: str = "python -m quarry index . .index") -> bool:
+def install(root: str, command: str = "python -m quarry index . --quiet") -> bool:
     """Create the hook or append to it; False if it is there already. Raises outside a git repository."""
     folder = os.path.join(root, ".git", "hooks")
     if not os.path.isdir(os.path.join(root, ".git")):

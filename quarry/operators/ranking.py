@@ -9,10 +9,13 @@ from ..functions.scalars import KIND_RANK, case_map
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each group, with rank and more, the number of rows left out."""
-    by = Window.partitionBy(*group)
-    ranked = df.withColumn("rank", F.row_number().over(by.orderBy(*order))).withColumn("more", F.greatest(F.lit(0), F.count("*").over(by) - n).cast("long"))
-    return ranked.where(F.col("rank") <= n)
+    """The first n rows of each group, with rank and more, the number of rows left out.
+
+    Counts are joined and not taken over the window, so Spark keeps n rows of a group before it sorts and shuffles."""
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)
+    counts = df.groupBy(*(F.col(g).alias(f"_{g}") for g in group)).agg(F.greatest(F.lit(0), F.count("*") - n).cast("long").alias("more"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    return ranked.join(counts, same).select(*df.columns, "rank", "more")
 
 
 def kind_order(kind: str = "kind", name: str = "name") -> list[Column]:

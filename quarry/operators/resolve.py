@@ -29,8 +29,9 @@ def _join(folder: Column, path: Column) -> Column:
     return normalise_path(F.concat(folder, F.lit("/"), path))
 
 
-def _candidates() -> Column:
-    """The candidates of a row (language, folder, source), best first."""
+def _candidates(languages: set[str]) -> Column:
+    """The candidates of a row (language, folder, source), best first. Only rules of `languages` go into the expression,
+    which is otherwise too large to be compiled."""
     lang, folder, s = F.col("language"), F.col("folder"), F.col("source")
     nothing = F.array().cast(CANDIDATE)
 
@@ -64,12 +65,13 @@ def _candidates() -> Column:
 
     near = _join(folder, s)
     ruby = F.array(_path(near, F.lit(".rb")), _path(near), _path(F.lit("lib/"), s, F.lit(".rb")), _path(F.lit("app/"), s, F.lit(".rb")))
-    return (F.when(lang.isin(SCRIPTS), script).when(lang == "python", python).when(lang == "go", go).when(lang == "rust", rust)
-            .when(lang.isin("java", "kotlin"), jvm).when(lang == "csharp", dotnet).when(lang == "php", php).when(lang == "ruby", ruby).otherwise(nothing))
+    ways = [(SCRIPTS, script), (["python"], python), (["go"], go), (["rust"], rust), (["java", "kotlin"], jvm), (["csharp"], dotnet), (["php"], php), (["ruby"], ruby)]
+    return F.coalesce(*(F.when(lang.isin(names), way) for names, way in ways if languages & {*names}), nothing)
 
 
-def file_keys(files: DataFrame) -> DataFrame:
-    """kind, key, path: every key a file (relative_path) answers to. A path of d folders has d tails and d * d runs."""
+def file_keys(files: DataFrame, languages: set[str]) -> DataFrame:
+    """kind, key, path: every key a file (relative_path) answers to for imports of `languages`. A path of d folders has d
+    tails and d * d runs."""
     p = F.col("relative_path")
     parts = F.split(p, "/")
     n = F.size(parts)
@@ -81,7 +83,8 @@ def file_keys(files: DataFrame) -> DataFrame:
     to_end = F.transform(F.sequence(F.lit(1), n), lambda i: _key("run", F.array_join(F.slice(stems, i, n), "/")))
     between = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.greatest(n - i, F.lit(1))), lambda k: _key("run", F.array_join(F.slice(parts, i, k), "/")))))
     runs = F.when(p.endswith(".cs"), F.when(n > 1, F.concat(to_end, between)).otherwise(to_end)).otherwise(F.array().cast(CANDIDATE))
-    every = F.array_distinct(F.concat(F.array(_path(p)), folders, tails, name, runs))
+    more = [k for names, keys in (({"go"}, [folders]), ({"java", "kotlin"}, [tails, name]), ({"csharp"}, [runs])) if languages & names for k in keys]
+    every = F.array_distinct(F.concat(F.array(_path(p)), *more)) if more else F.array(_path(p))
     return files.select(p.alias("path"), F.explode(every).alias("k")).select("k.kind", "k.key", "path")
 
 
@@ -90,11 +93,12 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
 
     Keys are made distinct first, so a specifier that a whole folder uses is looked up once. Ties between files go to
     the first in scan order, a Unicode collation of paths."""
+    languages = {r.language for r in imports.select("language").distinct().collect()}  # one row a language
     asked = imports.select("language", dir_name("file_path").alias("folder"), "source").distinct()
-    each = asked.withColumn("c", _candidates()).select("language", "folder", "source", F.posexplode("c").alias("priority", "k")).select("language", "folder", "source", "priority", "k.kind", "k.key")
+    each = asked.withColumn("c", _candidates(languages)).select("language", "folder", "source", F.posexplode("c").alias("priority", "k")).select("language", "folder", "source", "priority", "k.kind", "k.key")
     # Of the files with one key only the first in scan order can win, so a popular folder is one row, not many.
     first = F.struct(F.collate("path", "UNICODE").alias("o"), F.col("path").alias("p"))
-    known = file_keys(files).groupBy("kind", "key").agg(F.min_by("path", first).alias("path"))
+    known = file_keys(files, languages).groupBy("kind", "key").agg(F.min_by("path", first).alias("path"))
     hits = each.join(known, ["kind", "key"]).groupBy("language", "folder", "source").agg(F.min_by("path", F.struct("priority", F.collate("path", "UNICODE"))).alias("hit"))
     out = imports.withColumn("folder", dir_name("file_path")).join(hits, ["language", "folder", "source"], "left")
     return out.withColumn("resolved_path", F.col("hit")).withColumn("is_external", F.col("is_external") & F.col("hit").isNull()).select(imports.columns)

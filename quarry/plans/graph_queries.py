@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,107 +9,85 @@ from ..functions.scalars import case_map, heat_score
 from ..operators import graph
 from ..operators.ranking import primary_and_related
 from .cut import cut
-from .registry import ORACLES, QUERIES, WITHOUT_SQL, query, table
+from .registry import WITHOUT_SQL, query, table
 
 
-def part_edges(spark: SparkSession, sf: str, quantity: int | None) -> DataFrame:
-    """Distinct (src, dst) over lines of at most `quantity`, or over all; the filter reaches the scan, one shuffle by order."""
+def part_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct (src, dst) over all lines; one shuffle by order, one of the pairs."""
     lines = table(spark, sf, "lineitem")
-    if quantity is not None:
-        lines = lines.where(F.col("l_quantity") <= quantity)
     after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     return lines.select(F.col("l_partkey").alias("src"), after.alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
 
 
-def E(quantity: int) -> str:
-    return f"""e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_quantity <= {quantity}) WHERE dst IS NOT NULL AND src <> dst)"""
-
-
+E = "e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"
 DEGREES = "d AS (SELECT node, CAST(sum(i) AS BIGINT) AS imported_by, CAST(sum(o) AS BIGINT) AS imports FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node)"
 SCORE = "CAST(floor((CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 50 WHEN 'medium' THEN 20 WHEN 'low' THEN 5 ELSE 0 END) * (1.0 + log10(1.0 + greatest(0, heat))) + 0.5) AS BIGINT)"
 
 
-@query(f"WITH {E(6)} SELECT src, dst FROM e")
-def edge_build_distinct(spark, sf, quantity=6):
-    return part_edges(spark, sf, quantity)
+@query(f"WITH {E} SELECT src, dst FROM e")
+def edge_build_distinct(spark, sf):
+    return part_edges(spark, sf)
 
 
-@query(f"WITH {E(10)}, {DEGREES} SELECT node, imported_by, imports, CAST(greatest(0, (SELECT count(*) FROM d) - 15) AS BIGINT) AS more FROM d ORDER BY imported_by DESC, imports DESC, node LIMIT 15")
-def degree_rank_topk(spark, sf, quantity=10):
-    return graph.hottest(part_edges(spark, sf, quantity), 15)
+@query(f"WITH {E}, {DEGREES} SELECT node, imported_by, imports, CAST(greatest(0, (SELECT count(*) FROM d) - 15) AS BIGINT) AS more FROM d ORDER BY imported_by DESC, imports DESC, node LIMIT 15")
+def degree_rank_topk(spark, sf):
+    return graph.hottest(part_edges(spark, sf), 15)
 
 
-@query(f"WITH {E(6)} SELECT count(DISTINCT node) AS nodes FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)")
-def connected_node_count(spark, sf, quantity=6):
-    return graph.connected_count(part_edges(spark, sf, quantity))
+@query(f"WITH {E} SELECT count(DISTINCT node) AS nodes FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)")
+def connected_node_count(spark, sf):
+    return graph.connected_count(part_edges(spark, sf))
 
 
-def _blast(spark: SparkSession, sf: str, quantity: int | None) -> tuple[DataFrame, DataFrame]:
+def _blast(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(start, reach) of the most depended-on part, against the edges."""
-    edges = part_edges(spark, sf, quantity)
+    edges = part_edges(spark, sf)
     start = graph.degrees(edges).orderBy(F.desc("imported_by"), F.desc("imports"), "node").limit(1).select("node")
     return start, graph.reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, 3)
 
 
-REACH = f"""WITH RECURSIVE {E(6)}, {DEGREES}, s AS (SELECT node FROM d ORDER BY imported_by DESC, imports DESC, node LIMIT 1),
+REACH = f"""WITH RECURSIVE {E}, {DEGREES}, s AS (SELECT node FROM d ORDER BY imported_by DESC, imports DESC, node LIMIT 1),
 r(node, hop) AS (SELECT node, 0 FROM s UNION SELECT e.src, r.hop + 1 FROM r JOIN e ON e.dst = r.node WHERE r.hop < 3),
 m AS (SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY node)"""
 
 
 @query(f"{REACH} SELECT node, hop FROM m WHERE hop > 0")
-def reach_within_3_hops(spark, sf, quantity=6):
-    return _blast(spark, sf, quantity)[1]
+def reach_within_3_hops(spark, sf):
+    return _blast(spark, sf)[1]
 
 
 @query(f"{REACH} SELECT DISTINCT l_orderkey AS orderkey FROM lineitem WHERE l_partkey IN (SELECT node FROM m)")
-def reach_semi_join_orders(spark, sf, quantity=6):
-    start, found = _blast(spark, sf, quantity)
+def reach_semi_join_orders(spark, sf):
+    start, found = _blast(spark, sf)
     hit = found.select("node").unionByName(start)
     return table(spark, sf, "lineitem").join(hit, F.col("l_partkey") == F.col("node"), "left_semi").select(F.col("l_orderkey").alias("orderkey")).distinct()
 
 
-def _classes(spark: SparkSession, sf: str, n: int) -> DataFrame:
-    e = part_edges(spark, sf, 2).select((F.col("src") % n).alias("src"), (F.col("dst") % n).alias("dst"))
-    return e.where("src <> dst").distinct()
-
-
-def _scc_sql(n: int) -> str:
-    return f"""WITH RECURSIVE {E(2)}, g AS (SELECT DISTINCT src % {n} AS src, dst % {n} AS dst FROM e WHERE src % {n} <> dst % {n}),
-r(a, b) AS (SELECT src, dst FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b)
-SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a IN (SELECT p.a FROM r p JOIN r q ON p.a = q.b AND p.b = q.a WHERE p.a <> p.b) GROUP BY x.a"""
+def scc_components(spark: SparkSession, sf: str, few: int = 100_000) -> DataFrame:
+    """Components of the graph of all parts. Recursive SQL would need the closure of the whole graph, so there is none."""
+    return graph.scc(part_edges(spark, sf), few)
 
 
-@query(_scc_sql(100))
-def scc_components(spark, sf):
-    return graph.scc(_classes(spark, sf, 100))
+def scc_components_by_joins(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by joins alone, as for graphs that are too large for the driver."""
+    return graph.scc(part_edges(spark, sf), 0)
 
 
-@query(_scc_sql(300))
-def scc_components_sparse(spark, sf):
-    return graph.scc(_classes(spark, sf, 300))
-
-
-def scc_components_whole(spark: SparkSession, sf: str, few: int = 100_000) -> DataFrame:
-    """Components of the graph of all parts and lines. The two queries above see lines of at most 2 and classes of
-    parts, as their SQL does."""
-    return graph.scc(part_edges(spark, sf, None), few)
-
-
-WITHOUT_SQL["scc_components_whole"] = scc_components_whole
+WITHOUT_SQL |= {"scc_components": scc_components, "scc_components_by_joins": scc_components_by_joins}
 
 
 LAYERS = ("STANDARD", "ECONOMY"), ("PROMO", "LARGE")
 
 
-@query(f"""WITH {E(10)} SELECT src, dst, s.p_type AS src_type, t.p_type AS dst_type FROM e JOIN part s ON s.p_partkey = src JOIN part t ON t.p_partkey = dst
+@query(f"""WITH {E} SELECT src, dst, s.p_type AS src_type, t.p_type AS dst_type FROM e JOIN part s ON s.p_partkey = src JOIN part t ON t.p_partkey = dst
 WHERE (s.p_type LIKE '%STANDARD%' OR s.p_type LIKE '%ECONOMY%') AND (t.p_type LIKE '%PROMO%' OR t.p_type LIKE '%LARGE%')""")
-def layer_violation_edges(spark, sf, quantity=10):
+def layer_violation_edges(spark, sf):
     from ..functions.scalars import any_of
 
     part = table(spark, sf, "part")
     low = part.where(any_of("p_type", list(LAYERS[0]))).select(F.col("p_partkey").alias("src"), F.col("p_type").alias("src_type"))
     high = part.where(any_of("p_type", list(LAYERS[1]))).select(F.col("p_partkey").alias("dst"), F.col("p_type").alias("dst_type"))
-    return part_edges(spark, sf, quantity).join(low, "src").join(high, "dst").select("src", "dst", "src_type", "dst_type")
+    return part_edges(spark, sf).join(low, "src").join(high, "dst").select("src", "dst", "src_type", "dst_type")
 
 
 SEVERITY = "CASE WHEN p_size > 40 THEN 'critical' WHEN p_size > 25 THEN 'high' WHEN p_size > 10 THEN 'medium' ELSE 'low' END"
@@ -121,41 +97,41 @@ def _severity():
     return F.when(F.col("p_size") > 40, "critical").when(F.col("p_size") > 25, "high").when(F.col("p_size") > 10, "medium").otherwise("low")
 
 
-@query(f"WITH {E(10)}, {DEGREES}, f AS (SELECT p_partkey AS node, {SEVERITY} AS severity, coalesce(imported_by, 0) AS heat FROM part LEFT JOIN d ON node = p_partkey) SELECT node, severity, heat, {SCORE} AS score FROM f", "heat_score")
-def heat_score_parts(spark, sf, quantity=10):
-    d = graph.degrees(part_edges(spark, sf, quantity))
+@query(f"WITH {E}, {DEGREES}, f AS (SELECT p_partkey AS node, {SEVERITY} AS severity, coalesce(imported_by, 0) AS heat FROM part LEFT JOIN d ON node = p_partkey) SELECT node, severity, heat, {SCORE} AS score FROM f", "heat_score")
+def heat_score_parts(spark, sf):
+    d = graph.degrees(part_edges(spark, sf))
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), _severity().alias("severity"))
     rows = parts.join(d, "node", "left").select("node", "severity", F.coalesce("imported_by", F.lit(0)).cast("long").alias("heat"))
     return rows.withColumn("score", heat_score("severity", "heat"))
 
 
-@query(f"WITH {E(6)} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT src FROM e) AND p_partkey NOT IN (SELECT dst FROM e)")
-def isolated_nodes(spark, sf, quantity=6):
-    nodes = part_edges(spark, sf, quantity).select(F.explode(F.array("src", "dst")).alias("node"))
+@query(f"WITH {E} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT src FROM e) AND p_partkey NOT IN (SELECT dst FROM e)")
+def isolated_nodes(spark, sf):
+    nodes = part_edges(spark, sf).select(F.explode(F.array("src", "dst")).alias("node"))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("node")).join(nodes, "node", "left_anti")
 
 
-@query(f"WITH {E(6)}, {DEGREES} SELECT node, imports FROM d WHERE imports > 0 AND imported_by = 0")
-def source_only_nodes(spark, sf, quantity=6):
-    return graph.degrees(part_edges(spark, sf, quantity)).where("imports > 0 AND imported_by = 0").select("node", "imports")
+@query(f"WITH {E}, {DEGREES} SELECT node, imports FROM d WHERE imports > 0 AND imported_by = 0")
+def source_only_nodes(spark, sf):
+    return graph.degrees(part_edges(spark, sf)).where("imports > 0 AND imported_by = 0").select("node", "imports")
 
 
-@query(f"""WITH {E(10)}, {DEGREES}, r AS (SELECT p_brand AS brand, p_partkey AS part, coalesce(imported_by, 0) AS heat, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(imported_by, 0) DESC, p_partkey) AS n FROM part LEFT JOIN d ON node = p_partkey)
+@query(f"""WITH {E}, {DEGREES}, r AS (SELECT p_brand AS brand, p_partkey AS part, coalesce(imported_by, 0) AS heat, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(imported_by, 0) DESC, p_partkey) AS n FROM part LEFT JOIN d ON node = p_partkey)
 SELECT brand, max(part) FILTER (n = 1) AS "primary", max(heat) FILTER (n = 1) AS heat, coalesce(string_agg(CAST(part AS VARCHAR), ',' ORDER BY n) FILTER (n > 1), '') AS related FROM r GROUP BY brand""", "primary_and_related")
-def primary_and_related_parts(spark, sf, quantity=10):
-    d = graph.degrees(part_edges(spark, sf, quantity)).withColumnRenamed("node", "part")
+def primary_and_related_parts(spark, sf):
+    d = graph.degrees(part_edges(spark, sf)).withColumnRenamed("node", "part")
     rows = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("part")).join(d, "part", "left").select("brand", "part", F.coalesce("imported_by", F.lit(0)).cast("long").alias("heat"))
     out = primary_and_related(rows, "brand", "part", "heat")
     return out.withColumn("related", F.array_join(F.transform("related", lambda x: x.cast("string")), ","))
 
 
-@query(f"""WITH {E(10)}, {DEGREES}, f AS (
+@query(f"""WITH {E}, {DEGREES}, f AS (
   SELECT 'hot-part' AS rule, 1 AS rule_order, CASE WHEN imported_by >= 8 THEN 'critical' WHEN imported_by >= 5 THEN 'high' ELSE 'medium' END AS severity, node, imported_by AS heat FROM d WHERE imported_by >= 3
   UNION ALL SELECT 'isolated', 2, 'medium', p_partkey, 0 FROM part WHERE p_partkey NOT IN (SELECT node FROM d)
   UNION ALL SELECT 'source-only', 3, 'low', node, 0 FROM d WHERE imported_by = 0 AND imports > 0)
 SELECT rule, rule_order, severity, node, heat, {SCORE} AS score FROM f""")
-def rules_union_ranked(spark, sf, quantity=10):
-    d = graph.degrees(part_edges(spark, sf, quantity))
+def rules_union_ranked(spark, sf):
+    d = graph.degrees(part_edges(spark, sf))
     heat = F.col("imported_by")
     ladder = F.when(heat >= 8, "critical").when(heat >= 5, "high").otherwise("medium")
 
@@ -185,15 +161,8 @@ def monolith_exempt(spark, sf):
     return rows.select(F.col("l_suppkey").alias("supplier"), "n", F.when(F.col("n") >= 25, "critical").otherwise("high").alias("severity"))
 
 
-@query("""SELECT event_id, event_type, CAST(row_number() OVER (ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 99 END, event_id) AS INTEGER) AS place FROM events QUALIFY place <= 100""")
-def kind_rank_sort(spark, sf):
-    rank = case_map("event_type", {"purchase": 0, "signup": 1, "click": 2, "view": 3}, 99)
-    top = table(spark, sf, "events").select("event_id", "event_type").orderBy(rank, "event_id").limit(100)  # a top-k: no global window over all rows
-    return top.withColumn("place", F.row_number().over(Window.orderBy(rank, "event_id")))
-
-
 @query("""SELECT event_id, event_type, row_number() OVER (ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 99 END, event_id) AS place FROM events""")
-def kind_rank_sort_whole(spark, sf):
+def kind_rank_sort(spark, sf):
     """Every event in order; a place is its row number in its partition and the counts of the partitions before."""
     rank = case_map("event_type", {"purchase": 0, "signup": 1, "click": 2, "view": 3}, 99)
     rows = cut(table(spark, sf, "events").select("event_id", "event_type").orderBy(rank, "event_id"))  # written, so partitions stay as they are
@@ -204,17 +173,3 @@ def kind_rank_sort_whole(spark, sf):
         before += r.n
     base = F.broadcast(spark.createDataFrame(offsets, "p int, base long"))
     return rows.join(base, "p").select("event_id", "event_type", (F.col("base") + F.col("i") + 1).alias("place"))
-
-
-#: Queries whose edges come from lines of at most 6 or 10; each is registered as NAME_whole over all lines as well.
-OF_LINES = "edge_build_distinct degree_rank_topk connected_node_count reach_within_3_hops reach_semi_join_orders layer_violation_edges heat_score isolated_nodes source_only_nodes primary_and_related rules_union_ranked".split()
-
-
-def _whole_sql(sql: str) -> str:
-    for n in (6, 10):
-        sql = sql.replace(E(n), E(n).replace(f" WHERE l_quantity <= {n}", ""))
-    return sql
-
-
-for _name in OF_LINES:
-    query(_whole_sql(ORACLES[_name]), f"{_name}_whole")(partial(QUERIES[_name], quantity=None))

@@ -64,11 +64,17 @@ class Index:
         self.facts.write.mode("overwrite").parquet(f"{path}/v{VERSION}/facts")
 
 
-def build(files: DataFrame, framework: str = "generic") -> Index:
-    """Index files (relative_path, language, mtime_ms, size, text). Text is parsed once, where it is read; the facts are
-    then cut, because every relation starts from them."""
-    source = files.select(F.col("relative_path").alias("file_path"), "language", "text")
-    return Index(files.drop("text"), cut(extract.facts(source, framework)))
+def _sources(files: DataFrame) -> DataFrame:
+    return files.select(F.col("relative_path").alias("file_path"), "language", "text")
+
+
+def build(files: DataFrame, framework: str = "generic", schemas_of: DataFrame | None = None) -> Index:
+    """Index files (relative_path, language, mtime_ms, size, text) and the models of schema files (relative_path, text).
+    Text is parsed once, where it is read; files and facts are then cut, because every relation starts from them."""
+    source = _sources(files)
+    if schemas_of is not None:
+        source = source.unionByName(_sources(schemas_of.withColumn("language", F.lit("prisma"))))
+    return Index(cut(files.drop("text")), cut(extract.facts(source, framework)))
 
 
 def load(spark: SparkSession, path: str) -> Index | None:
@@ -81,14 +87,22 @@ def load(spark: SparkSession, path: str) -> Index | None:
         raise
 
 
-def update(old: Index, files: DataFrame, framework: str = "generic") -> Index:
-    """The index of files, parsing only those that are new or changed; equal to build(files).
+def changes(old: Index, files: DataFrame) -> DataFrame:
+    """relative_path and status of every file, by time and size."""
+    return snapshot_diff(old.files, files, "relative_path", ["mtime_ms", "size"])
+
+
+def update(old: Index, files: DataFrame, framework: str = "generic", schemas_of: DataFrame | None = None) -> Index:
+    """The index of files, parsing only those that are new or changed, and schema files each time; equal to build(..).
 
     Imports are resolved from raw facts each time, so deleted files leave no edges and new ones attract old imports."""
-    diff = snapshot_diff(old.files, files, "relative_path", ["mtime_ms", "size"]).withColumnRenamed("relative_path", "file_path")
+    diff = changes(old, files).withColumnRenamed("relative_path", "file_path")
     new = diff.where("status IN ('added', 'changed')").select(F.col("file_path").alias("relative_path"))
     fresh = build(files.join(new, "relative_path", "left_semi"), framework)
-    return Index(files.drop("text"), refreshed(old.facts, diff, fresh.facts, "file_path"))
+    facts = refreshed(old.facts.where("language <> 'prisma'"), diff, fresh.facts, "file_path")
+    if schemas_of is not None:
+        facts = facts.unionByName(extract.facts(_sources(schemas_of.withColumn("language", F.lit("prisma")))))
+    return Index(cut(files.drop("text")), cut(facts))
 
 
 def report_stats(spark: SparkSession, folder: str) -> DataFrame:

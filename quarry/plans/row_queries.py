@@ -200,9 +200,11 @@ def truncate_text(spark, sf):
 
 @query("""SELECT conv_id, string_agg(concat(CAST(turn AS VARCHAR), ':', role), ',' ORDER BY rank) FILTER (rank <= 5) AS head, CAST(greatest(0, count(*) - 5) AS BIGINT) AS more FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rank FROM conversations) GROUP BY conv_id""")
 def array_fields_head(spark, sf):
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("all"))
-    head = F.transform(F.slice("all", 1, 5), lambda x: F.concat(x["turn"].cast("string"), F.lit(":"), x["role"]))
-    return rows.select("conv_id", F.array_join(head, ",").alias("head"), F.greatest(F.lit(0), F.size("all") - 5).cast("long").alias("more"))
+    """Five rows of each conversation are kept before anything is gathered."""
+    first = top_per_group(table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id"], [F.col("turn"), F.col("role")], 5)
+    rows = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("rank", "turn", "role"))).alias("all"), F.max("more").alias("more"))
+    head = F.transform("all", lambda x: F.concat(x["turn"].cast("string"), F.lit(":"), x["role"]))
+    return rows.select("conv_id", F.array_join(head, ",").alias("head"), "more")
 
 
 @query(f"""WITH {P}, s AS (SELECT DISTINCT {SEGMENTS} AS s FROM p WHERE len({SEGMENTS}) > 0), u AS (SELECT s, CAST(unnest(range(1, len(s) + 1)) AS INTEGER) AS depth FROM s)

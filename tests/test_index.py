@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from quarry import schemas
+from quarry import __version__, schemas
+from quarry.__main__ import main
 from quarry.operators import graph, rules
 from quarry.plans import index, reports
 from quarry.sources import frameworks, scan
@@ -141,6 +142,60 @@ def test_scan_and_stream(spark, tmp_path):
     assert scan.ignore_names("# c\nlogs/\n\n*.tmp\n") == ["logs", "*.tmp"]
 
 
+def tree(folder, files):
+    for path, text in files.items():
+        p = folder / path
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    return str(folder)
+
+
+@pytest.mark.parametrize("files,want", [
+    ({"next.config.mjs": "", "app/x.tsx": "export const a = 1;"}, "nextjs-app"), ({"package.json": '{"dependencies": {"express": "1"}}', "src/a.ts": ""}, "express"),
+    ({"astro.config.mjs": "", "src/pages/a.astro": ""}, "astro"), ({"manage.py": "", "package.json": "{"}, "django"), ({"lib/package.json": '{"dependencies": {"express": "1"}}', "a.ts": ""}, "generic"),
+])
+def test_frameworks_of_scanned_trees(spark, tmp_path, files, want):
+    root = tree(tmp_path, files)
+    assert frameworks.detect_tree(spark, root, scan.scan(spark, root)).id == want
+
+
+def test_the_command_line_from_a_folder(spark, tmp_path, capsys):
+    root = tree(tmp_path, {
+        "next.config.mjs": "", "app/api/carts/[id]/route.ts": "import '../../../../src/db';\nexport async function GET() {}", "src/db.ts": "export function open() {}", ".gitignore": "# c\nskipped/\n",
+        "skipped/no.ts": "export const no = 1;", "prisma/schema.prisma": "model Cart {\n id Int @id\n}\n", "quarry.json": '{"exclude": ["*_gen.ts"], "output": "docs/index"}', "src/a_gen.ts": "export const gen = 1;", ".git/HEAD": "",
+    })
+    out = tmp_path / "docs/index"
+
+    def run(*args):
+        assert main([args[0], root, *args[1:]]) == 0
+        return capsys.readouterr().out
+
+    first = run("index")
+    assert "Next.js" in first and "2 files" in first and "1 models" in first and "1 routes" in first
+    assert "[route]" in (out / "structure.md").read_text() and "Cart" in (out / "schema.md").read_text() and "/api/carts/:id" in (out / "routes.md").read_text()
+    assert "nothing has changed" in run("index")
+    (tmp_path / "src/new.ts").write_text("import './db';\nexport const fresh = 1;")
+    (tmp_path / "prisma/schema.prisma").unlink()
+    assert "3 files" in run("index") and "fresh" in (out / "exports.md").read_text() and not (out / "schema.md").exists()
+    hit = run("blast", "src/db.ts")
+    assert "2 files depend" in hit and "app/api/carts/[id]/route.ts (1)" in hit and "GET /api/carts/:id" in hit
+    stats = run("stats")
+    assert "exports.md" in stats and "total" in stats
+    assert "installed" in run("hook") and (tmp_path / ".git/hooks/pre-commit").exists()
+    with pytest.raises(SystemExit):
+        main(["--version"])
+    assert capsys.readouterr().out.strip() == __version__
+
+
+def test_explicit_schemas(spark, tmp_path):
+    root = tree(tmp_path, {"a.prisma": "model A {\n id Int @id\n}", "schema.prisma": "model B {\n id Int @id\n}", "x.ts": ""})
+    found = scan.schema_files(spark, root, ["a.prisma", "gone.prisma", "b.sql"])
+    ix = index.build(scan.scan(spark, root), schemas_of=found)
+    assert [(r.name, r.orm) for r in ix.relation("models").collect()] == [("A", "prisma")] and ix.counts().first().files == 1
+    assert [r.relative_path for r in scan.schema_files(spark, root).collect()] == ["schema.prisma"]
+    assert scan.schema_files(spark, str(tmp_path / "none")) is None
+
+
 @pytest.mark.parametrize("files,want", [
     ({"next.config.js": "", "app/x.tsx": ""}, "nextjs-app"), ({"next.config.mjs": "", "pages/x.tsx": "", "app/x.tsx": ""}, "nextjs-both"), ({"next.config.ts": "", "pages/x.tsx": ""}, "nextjs-pages"), ({"astro.config.mjs": ""}, "astro"),
     ({"package.json": '{"dependencies": {"express": "1", "fastify": "1"}}'}, "fastify"), ({"package.json": '{"devDependencies": {"express": "1"}}'}, "express"), ({"package.json": "{", "manage.py": ""}, "django"), ({"src/app.py": "from flask import Flask"}, "flask"), ({"x.py": ""}, "generic"),
@@ -149,10 +204,24 @@ def test_frameworks(spark, files, want):
     assert frameworks.detect(spark.createDataFrame(list(files.items()), "relative_path string, text string")).id == want
 
 
+def test_the_tree_has_every_level_and_counts_what_it_leaves_out(spark):
+    deep = "/".join(f"d{i}" for i in range(9))
+    files = {f"{deep}/f{i}.ts": "" for i in range(10)} | {f"d0/x{i}.ts": "" for i in range(3)}
+    lines = list(reports.structure(index.build(project(spark, files))))
+    at = lines.index("d0/")
+    assert lines[at : at + 16] == [*("  " * i + f"d{i}/" for i in range(9)), *("  " * 9 + f"f{i}.ts" for i in range(5)), "  " * 9 + "...5 more", "  x0.ts"]
+
+
 def test_reports(spark):
-    out = reports.write_all(index.build(project(spark, FILES)))
+    def write_all(files):
+        return {k: "\n".join(v) or None for k, v in reports.reports(index.build(project(spark, files))).items()}
+
+    out = write_all(FILES)
     assert "src/utils.ts" in out["exports.md"] and "+1 more" in out["exports.md"]
     assert "User { a: string, b?: number }" in out["types.md"] and "critical" in out["audit.md"]
+    findings = index.build(project(spark, FILES)).findings().cache()
+    short, n = "\n".join(reports.audit_report(findings, top=3)), findings.count()
+    assert n == 10 and "...and 7 more findings" in short and short.count("\n- [") == n + 3
     assert "imported by" in out["graph.md"] and "react: 1 files" in out["graph.md"] and "django" in out["schema.md"] and "/a" in out["routes.md"]
-    empty = reports.write_all(index.build(project(spark, {"a.ts": ""})))
+    empty = write_all({"a.ts": ""})
     assert [k for k, v in empty.items() if v is None] == ["exports.md", "types.md", "routes.md", "schema.md", "graph.md"]
