@@ -7,8 +7,8 @@ windows have their sample at the same place, so no match is lost. An entry stand
 one sample. Its key is the first DEPTH bytes of the suffix itself, as far as the run's windows reach, and then a digest
 of the run's whole context; arrays are sorted by key, that is in suffix order, and cut into ranges of keys.
 
-RepeatIndex.add() samples a batch, sorts it together with the existing levels in one shuffle and merge-scans the
-result in suffix order. Of equal contexts the earliest stays and the others are marked as its copies. A run can
+RepeatIndex.add() samples a batch, sorts it in one shuffle by range and merges each range with the same range of the
+existing levels, which are read in place and never shuffled again. Of equal contexts the earliest stays and the others are marked as its copies. A run can
 share a window with another context only if its longest common prefix with one of its neighbours reaches the end of
 its first window (or DEPTH): these runs become candidates, which are compared in blocks of windows and then window by
 window. Levels of equal size then merge geometrically, as in a binary counter; others are scanned and not rewritten.
@@ -46,6 +46,7 @@ WIDTH = DEPTH + DIGEST
 ENTRY, MARK, CANDIDATE = 0, 1, 2
 #: kind; range of keys; key, or for a mark its source (doc_id and start); the run; the level it comes from.
 ENTRIES = "kind int, part int, key binary, doc_id long, packed long, level int"
+LEVEL = "part int, key binary, doc_id long, packed long, level int, kind int"  # as written: kind is in the path
 NAMES = [f.split()[0] for f in ENTRIES.split(", ")]
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 SPANS = "doc_id long, start long, n long, src long, src_start long"
@@ -170,61 +171,136 @@ def batch_of(kind: int, part: np.ndarray, key: np.ndarray, doc_id: np.ndarray, p
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(part.astype(np.int32)), binaries(key), pa.array(doc_id), pa.array(packed), pa.array(np.full(n, level, np.int32))], names=NAMES)
 
 
-def merge_scan(merging: frozenset[int], length: int, tell: bool = True):
-    """A scan over a range of keys, sorted by kind, key, doc_id and packed.
+class Level:
+    """The sorted rows of one range of a level, read from its files as far as asked for."""
+
+    def __init__(self, rank: int, paths: list[str]):
+        self.rank, self.batches, self.held = rank, self._read(paths), None
+
+    def _read(self, paths: list[str]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for path in paths:
+            store, place = fs.FileSystem.from_uri(path)
+            with store.open_input_file(place) as f:
+                yield from pq.ParquetFile(f).iter_batches(20_000, columns=["key", "doc_id", "packed"])
+
+    def until(self, bound: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+        """Rows (key, doc_id, packed, level) of keys up to bound, or all that are left, a batch at a time."""
+        while True:
+            if self.held is None and (batch := next(self.batches, None)) is not None and batch.num_rows:
+                self.held = (matrix(batch.column("key"), WIDTH), batch.column("doc_id").to_numpy(), batch.column("packed").to_numpy())
+            if self.held is None:
+                return
+            n = len(self.held[0]) if bound is None else int(np.searchsorted(sortable(self.held[0]), bound, "right")[0])
+            if n:
+                yield (*(x[:n] for x in self.held), np.full(n, self.rank, np.int32))
+            if n < len(self.held[0]):
+                self.held = tuple(x[n:] for x in self.held)
+                return
+            self.held = None
+
+
+def sortable(key: np.ndarray) -> np.ndarray:
+    """Keys as byte strings, which compare like the keys."""
+    return np.ascontiguousarray(key).view(f"S{WIDTH}").ravel()
+
+
+def merge_scan(levels: dict[int, dict[int, list[str]]], merging: frozenset[int], length: int, tell: bool = True):
+    """A merge of one range's new rows, sorted by kind, key, doc_id and packed, with its rows of every level.
 
     Gives the earliest entry of each context (as an entry if its level is among `merging`), marks for the others and, if
-    asked to tell, candidates: earliest entries whose common prefix with a neighbour is long enough for a window,
-    and the range's ends. It holds a batch and one row."""
+    asked to tell, candidates: earliest entries whose common prefix with a neighbour is long enough for a window, if
+    either is new, and the range's ends. It holds a batch of each level and one row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last context's earliest entry, whether it is to be kept, and whether it is a candidate already
+    def chunks(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch | tuple]:
+        """Marks as they come, and merged rows (key, doc_id, packed, level), no key's later rows before its earliest."""
+        held = [Level(rank, paths[part]) for rank, paths in levels.items() if part in paths]
         for batch in batches:
             n = int(np.searchsorted(batch.column("kind").to_numpy(), MARK))
             if n < batch.num_rows:
                 yield batch.slice(n)
-            if not n:
+            if n:
+                batch = batch.slice(0, n)
+                new = (matrix(batch.column("key"), WIDTH), *(batch.column(c).to_numpy() for c in ("doc_id", "packed", "level")))
+                rows = [new, *(r for x in held for r in x.until(sortable(new[0][-1:])))]
+                yield merged(rows) if len(rows) > 1 else new
+        while held:  # what is left: in turn up to the least of the levels' next batches
+            heads = []
+            for x in list(held):
+                if (row := next(x.until(None), None)) is None:
+                    held.remove(x)
+                else:
+                    heads.append((x, row))
+            if heads:
+                bound = min((sortable(row[0][-1:]) for _, row in heads), key=lambda k: k[0])
+                rows = []
+                for x, row in heads:
+                    n = int(np.searchsorted(sortable(row[0]), bound, "right")[0])
+                    rows.append(tuple(c[:n] for c in row))
+                    rest = tuple(c[n:] for c in row[:3])
+                    x.held = rest if len(rest[0]) else None
+                    rows += x.until(bound) if x.held is None else ()
+                yield merged([r for r in rows if len(r[0])])
+
+    def merged(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        key, doc, packed, level = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.lexsort((packed, doc, sortable(key)))
+        return key[order], doc[order], packed[order], level[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0  # repartitionById: a partition is a range
+        held: tuple | None = None  # the last context's earliest entry, whether it is to be kept, and whether it is a candidate already
+
+        def out(kind: int, key: np.ndarray, doc: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+            return batch_of(kind, np.full(len(doc), part), key, doc, packed)
+
+        for chunk in chunks(batches, part):
+            if isinstance(chunk, pa.RecordBatch):
+                yield chunk
                 continue
-            batch = batch.slice(0, n)
-            part, doc, packed, level = (batch.column(c).to_numpy() for c in ("part", "doc_id", "packed", "level"))
-            key = matrix(batch.column("key"), WIDTH)
+            key, doc, packed, level = chunk
             given = held is not None
             if given:
-                part, key, doc, packed, level = (np.concatenate([[h], x]) for h, x in zip(held[:5], (part, key, doc, packed, level), strict=True))
+                key, doc, packed, level = (np.concatenate([[h], x]) for h, x in zip(held[:4], chunk, strict=True))
             first = np.ones(len(key), bool)
             first[1:] = (key[1:] != key[:-1]).any(1)
             of = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
             copy = ~first & ((doc != doc[of]) | (packed != packed[of]))
             if copy.any():
-                yield batch_of(MARK, part[copy], source_of(doc[of[copy]], packed[of[copy]]), doc[copy], packed[copy])
+                yield out(MARK, source_of(doc[of[copy]], packed[of[copy]]), doc[copy], packed[copy])
             # An entry kept by a level that is not merged stays there; equal rows of a merged level replace it here.
             f = np.flatnonzero(first)
-            keep = np.isin(level[f], list(merging))
+            keep, fresh = np.isin(level[f], list(merging)), level[f] < 0
             near, told = np.zeros(len(f), bool), np.zeros(len(f), bool)
             equal = key[f[1:], :DEPTH] == key[f[:-1], :DEPTH]
             prefix = np.where(equal.all(1), DEPTH, equal.argmin(1))
+            prefix[~(fresh[1:] | fresh[:-1])] = -1  # two old neighbours have met before
             need = np.minimum(DEPTH, length - (packed[f] >> 8 & 255))
             near[1:] |= prefix >= need[1:]
             near[:-1] |= prefix >= need[:-1]
             if given:
-                keep[0], told[0] = held[5], held[6]
+                keep[0], told[0] = held[4], held[5]
             else:
                 near[0] = True  # the other side of the border is not seen
             new = near & ~told
             if tell and new.any():
-                yield batch_of(CANDIDATE, *(x[f][new] for x in (part, key, doc, packed)))
+                yield out(CANDIDATE, *(x[f][new] for x in (key, doc, packed)))
             done = keep.copy()
             last = f[-1]
             done[-1] = False  # the last one may go on in the next batch
             if done.any():
-                yield batch_of(ENTRY, *(x[f][done] for x in (part, key, doc, packed)))
-            held = (part[last], key[last], doc[last], packed[last], level[last], bool(keep[-1]), bool(near[-1] or told[-1]))
+                yield out(ENTRY, *(x[f][done] for x in (key, doc, packed)))
+            held = (key[last], doc[last], packed[last], level[last], bool(keep[-1]), bool(near[-1] or told[-1]))
         if held is not None:
-            row = [np.array([x]) for x in held[:4]]
-            if held[5]:
-                yield batch_of(ENTRY, *row)
-            if tell and not held[6]:
-                yield batch_of(CANDIDATE, *row)
+            row = [np.array([x]) for x in held[:3]]
+            if held[4]:
+                yield out(ENTRY, *row)
+            if tell and not held[5]:
+                yield out(CANDIDATE, *row)
 
     return run
 
@@ -240,8 +316,7 @@ class RepeatIndex:
         self.steps: list[str] = []
 
     def _table(self, path: str, kind: int) -> DataFrame:
-        schema = "part int, key binary, doc_id long, packed long, level int, kind int"
-        return self.spark.read.schema(schema).parquet(path).where(F.col("kind") == kind).select(*NAMES)
+        return self.spark.read.schema(LEVEL).parquet(path).where(F.col("kind") == kind).select(*NAMES)
 
     def _fit(self, rows: DataFrame, make, most: int = 32) -> np.ndarray:
         """Split points of the keys that `make` gives for a batch, from some thousand rows and `most` keys of a batch."""
@@ -256,8 +331,16 @@ class RepeatIndex:
         at = (np.arange(1, self.parts) * len(found)) // self.parts
         return np.unique(found[at]) if len(found) else found
 
-    def _scan(self, rows: DataFrame, merging: frozenset[int], path: str, tell: bool = True) -> None:
-        rows.repartitionById(self.parts, F.col("part")).sortWithinPartitions("kind", "key", "doc_id", "packed").mapInArrow(merge_scan(merging, self.length, tell), ENTRIES).write.partitionBy("kind").parquet(path)
+    def _scan(self, rows: DataFrame, merging: frozenset[int], path: str, tell: bool = True, levels: dict[int, str] | None = None) -> None:
+        """Sort new rows into ranges and merge each with the same range of the levels, which are read in place."""
+        files: dict[int, dict[int, list[str]]] = {}
+        for rank, level in (levels or {}).items():
+            files[rank] = {}
+            entries = self.spark.read.schema(LEVEL).parquet(level).where(F.col("kind") == ENTRY)
+            for r in entries.select("part", "_metadata.file_path").distinct().collect():  # one row a range
+                files[rank].setdefault(r.part, []).append(r.file_path)
+        scan = merge_scan(files, merging, self.length, tell)
+        rows.repartitionById(self.parts, F.col("part")).sortWithinPartitions("kind", "key", "doc_id", "packed").mapInArrow(scan, ENTRIES).write.partitionBy("kind").parquet(path)
 
     def _entries(self, rows: DataFrame, make, splits: np.ndarray | None) -> DataFrame:
         """Entries and marks of what `make` gives; without split points ranges go by the digest alone."""
@@ -291,11 +374,8 @@ class RepeatIndex:
         rank = 0
         while rank in self.levels:
             rank += 1
-        rows = self._entries(texts, make, self.splits)
-        for r, path in self.levels.items():
-            rows = rows.unionByName(self._table(path, ENTRY).withColumn("level", F.lit(r)))
         path = f"{self.folder}/step{len(self.steps)}"
-        self._scan(rows, frozenset([-1, *range(rank)]), path)
+        self._scan(self._entries(texts, make, self.splits), frozenset([-1, *range(rank)]), path, levels=self.levels)
         for r in range(rank):
             remove(self.spark, f"{self.levels.pop(r)}/kind={ENTRY}")
         self.levels[rank] = path

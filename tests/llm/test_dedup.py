@@ -145,7 +145,7 @@ def test_neighbours_need_a_long_common_prefix():
     keys, docs, packed = zip(*(row(*r) for r in (a, b, c, (b"b" * 32, b"%08d" % 4, 4, 10), (b"c" * 32, b"%08d" % 5, 5, 10))), strict=True)
     matrix = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, repeats.WIDTH)
     batch = repeats.batch_of(repeats.ENTRY, np.zeros(5), matrix, np.array(docs), np.array(packed), -1)
-    out = [x for x in repeats.merge_scan(frozenset([-1]), 100)(iter([batch.slice(0, 2), batch.slice(2)]))]
+    out = [x for x in repeats.merge_scan({}, frozenset([-1]), 100)(iter([batch.slice(0, 2), batch.slice(2)]))]
     near = sorted(d for x in out if x.column("kind")[0].as_py() == repeats.CANDIDATE for d in x.column("doc_id").to_pylist())
     assert near == [1, 2, 3, 5]  # 3 needs 24 bytes only; 5 ends the range; 4 is like nothing
     assert sorted(d for x in out if x.column("kind")[0].as_py() == repeats.ENTRY for d in x.column("doc_id").to_pylist()) == [1, 2, 3, 4, 5]
