@@ -12,20 +12,20 @@ def routes(text, language, path, framework="generic"):
 
 
 ROUTES = [
-    ("typescript", "a.ts", "router.get('/users', f); app.post(\"/users\", g);", [("GET", "/users"), ("POST", "/users")]),
-    ("typescript", "a.ts", "router.get(\n  '/articles/feed',\n  auth.required,\n  async (req, res) => {});", [("GET", "/articles/feed")]),
-    ("typescript", "a.ts", "supabase.get('users'); db.post(record); // app.get('/x')", []),
-    ("python", "app/urls.py", "urlpatterns = [path('articles/', v), re_path(r'^tags/?$', w), url(r'^x', y)]", [("ALL", "/^tags/?$"), ("ALL", "/^x"), ("ALL", "/articles/")]),
-    ("python", "app/views.py", "@app.route('/users', methods=['POST'])\ndef users(): pass\n@bp.get('/u')\ndef u(): pass", [("GET", "/u"), ("POST", "/users")]),
-    ("go", "main.go", 'func r() {\n router.GET("/users", a)\n router.DELETE("/users/:id", b)\n http.HandleFunc("/h", c)\n db.Get("k")\n}', [("ALL", "/h"), ("DELETE", "/users/:id"), ("GET", "/users")]),
-    ("rust", "api.rs", 'fn f() { Router::new().route("/api/user", get(a).put(b).delete(c)).route("/d", routing::post(d)) }', [("DELETE", "/api/user"), ("GET", "/api/user"), ("POST", "/d"), ("PUT", "/api/user")]),
-    ("rust", "api.rs", '#[get("/users")]\nasync fn l() {}\n#[post("/users")]\nasync fn c() {}', [("GET", "/users"), ("POST", "/users")]),
-    ("java", "A.java", '@RequestMapping(path = "/articles/{slug}")\npublic class A {\n @GetMapping\n public D get() { return null; }\n @PostMapping(value = "/comments", produces = "x")\n public void c() {}\n}', [("GET", "/articles/{slug}"), ("POST", "/articles/{slug}/comments")]),
-    ("java", "U.java", '@RestController\npublic class U {\n @GetMapping("/users")\n public List get() { return null; }\n}', [("GET", "/users")]),
-    ("kotlin", "U.kt", '@RestController\nclass U {\n @PostMapping("/api/users/login")\n fun login(): Any { return "" }\n @GetMapping\n fun l(): Any { return "" }\n}', [("GET", "/"), ("POST", "/api/users/login")]),
-    ("csharp", "U.cs", '[Route("api/users")]\npublic class U : Controller {\n [HttpGet]\n public Task G() => null;\n [HttpDelete("{id}")]\n public Task D(int id) => null;\n}', [("DELETE", "/api/users/{id}"), ("GET", "/api/users")]),
-    ("php", "routes/api.php", "<?php\nRoute::get('users', 'U@i');\nRoute::any(\"x\", 'U@x');\n# Route::get('no')", [("ALL", "x"), ("GET", "users")]),
-    ("ruby", "config/routes.rb", "resources :tags, only: [:index]\nresource :user, except: [:edit, :new]\nget :feed\nget '/health', to: 'm#h'", [("DELETE", "/user"), ("GET", "/feed"), ("GET", "/health"), ("GET", "/tags"), ("GET", "/user"), ("PATCH", "/user"), ("POST", "/user")]),
+    ("typescript", "a.ts", "router.get('/pallets', f); app.post(\"/pallets\", g);", [("GET", "/pallets"), ("POST", "/pallets")]),
+    ("typescript", "a.ts", "router.get(\n  '/crates/newest',\n  guard.signed,\n  async (req, res) => {});", [("GET", "/crates/newest")]),
+    ("typescript", "a.ts", "cache.get('pallets'); store.post(row); // app.get('/x')", []),
+    ("python", "app/urls.py", "urlpatterns = [path('crates/', v), re_path(r'^bins/?$', w), url(r'^x', y)]", [("ALL", "/^bins/?$"), ("ALL", "/^x"), ("ALL", "/crates/")]),
+    ("python", "app/views.py", "@app.route('/pallets', methods=['POST'])\ndef users(): pass\n@bp.get('/u')\ndef u(): pass", [("GET", "/u"), ("POST", "/pallets")]),
+    ("go", "main.go", 'func r() {\n router.GET("/pallets", a)\n router.DELETE("/pallets/:id", b)\n http.HandleFunc("/h", c)\n db.Get("k")\n}', [("ALL", "/h"), ("DELETE", "/pallets/:id"), ("GET", "/pallets")]),
+    ("rust", "api.rs", 'fn f() { Router::new().route("/v1/pallet", get(a).put(b).delete(c)).route("/d", routing::post(d)) }', [("DELETE", "/v1/pallet"), ("GET", "/v1/pallet"), ("POST", "/d"), ("PUT", "/v1/pallet")]),
+    ("rust", "api.rs", '#[get("/pallets")]\nasync fn l() {}\n#[post("/pallets")]\nasync fn c() {}', [("GET", "/pallets"), ("POST", "/pallets")]),
+    ("java", "A.java", '@RequestMapping(path = "/shelves/{code}")\npublic class A {\n @GetMapping\n public D get() { return null; }\n @PostMapping(value = "/notes", produces = "x")\n public void c() {}\n}', [("GET", "/shelves/{code}"), ("POST", "/shelves/{code}/notes")]),
+    ("java", "U.java", '@RestController\npublic class U {\n @GetMapping("/pallets")\n public List get() { return null; }\n}', [("GET", "/pallets")]),
+    ("kotlin", "U.kt", '@RestController\nclass U {\n @PostMapping("/gate/open")\n fun login(): Any { return "" }\n @GetMapping\n fun l(): Any { return "" }\n}', [("GET", "/"), ("POST", "/gate/open")]),
+    ("csharp", "U.cs", '[Route("depot/crates")]\npublic class U : Controller {\n [HttpGet]\n public Task G() => null;\n [HttpDelete("{id}")]\n public Task D(int id) => null;\n}', [("DELETE", "/depot/crates/{id}"), ("GET", "/depot/crates")]),
+    ("php", "routes/api.php", "<?php\nRoute::get('pallets', 'U@i');\nRoute::any(\"x\", 'U@x');\n# Route::get('no')", [("ALL", "x"), ("GET", "pallets")]),
+    ("ruby", "config/routes.rb", "resources :bins, only: [:index]\nresource :dock, except: [:edit, :new]\nget :newest\nget '/pulse', to: 'm#h'", [("DELETE", "/dock"), ("GET", "/newest"), ("GET", "/pulse"), ("GET", "/bins"), ("GET", "/dock"), ("PATCH", "/dock"), ("POST", "/dock")]),
     ("ruby", "app/c.rb", "resources :widgets", []),
     ("astro", "src/pages/blog/[...slug].astro", "", [("GET", "/blog/*")]),
     ("astro", "src/pages/404.astro", "", []),

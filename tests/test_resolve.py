@@ -5,27 +5,27 @@ import pytest
 from quarry import schemas
 from quarry.operators.resolve import resolve
 
-SCRIPT = ["src/utils.ts", "src/types.ts", "src/lib/db.ts", "src/lib/index.ts", "src/components/Header.tsx"]
-PYTHON = ["app/models.py", "app/views.py", "app/__init__.py", "app/utils/helpers.py", "app/utils/__init__.py", "src/core/engine.py"]
-GO = ["internal/auth/auth.go", "internal/auth/middleware.go", "pkg/util/strings.go"]
-RUST = ["src/main.rs", "src/lib.rs", "src/auth.rs", "src/auth/mod.rs", "src/db/mod.rs"]
-JAVA = ["src/main/java/com/example/User.java", "src/main/java/com/example/UserService.java"]
-CS = ["src/Core/AdminConsole/Entities/Organization.cs", "src/Core/AdminConsole/Models/Data/OrganizationData.cs", "src/Api/Controllers/OrganizationsController.cs", "Models/User.cs"]
-PHP = ["app/Models/User.php", "src/Helpers.php"]
-RUBY = ["lib/utils.rb", "app/models/user.rb"]
+SCRIPT = ["src/words.ts", "src/sizes.ts", "src/box/lid.ts", "src/box/index.ts", "src/ui/Panel.tsx"]
+PYTHON = ["store/goods.py", "store/desk.py", "store/__init__.py", "store/tools/saw.py", "store/tools/__init__.py", "src/motor/gear.py"]
+GO = ["inner/gate/a_key.go", "inner/gate/lock.go", "kit/text/cut.go"]
+RUST = ["src/main.rs", "src/lib.rs", "src/gate.rs", "src/gate/mod.rs", "src/vault/mod.rs"]
+JAVA = ["src/main/java/org/yard/Crate.java", "src/main/java/org/yard/CrateDesk.java"]
+CS = ["src/Yard/Dock/Things/Crane.cs", "src/Yard/Dock/Shapes/Raw/CraneRow.cs", "src/Web/Desks/CraneDesk.cs", "Shapes/Crate.cs"]
+PHP = ["app/Goods/Crate.php", "src/Tools.php"]
+RUBY = ["lib/knots.rb", "app/goods/crate.rb"]
 
 CASES = [
-    ("typescript", SCRIPT, "src/cli.ts", "./utils", "src/utils.ts"), ("typescript", SCRIPT, "src/cli.ts", "./types.ts", "src/types.ts"), ("typescript", SCRIPT, "src/cli.ts", "./lib", "src/lib/index.ts"),
-    ("typescript", SCRIPT, "src/lib/index.ts", "./db", "src/lib/db.ts"), ("typescript", SCRIPT, "src/lib/db.ts", "../types", "src/types.ts"), ("typescript", SCRIPT, "src/cli.ts", "react", None),
-    ("typescript", SCRIPT, "src/cli.ts", "./nonexistent", None), ("tsx", SCRIPT, "src/cli.ts", "./components/Header", "src/components/Header.tsx"), ("typescript", SCRIPT, "x/y.ts", "@/utils", "src/utils.ts"),
-    ("python", PYTHON, "app/views.py", ".models", "app/models.py"), ("python", PYTHON, "test.py", "app.models", "app/models.py"), ("python", PYTHON, "test.py", "app.utils", "app/utils/__init__.py"),
-    ("python", PYTHON, "app/views.py", "os", None), ("python", PYTHON, "t.py", "core.engine", "src/core/engine.py"), ("python", PYTHON, "app/utils/helpers.py", "..models", "app/models.py"), ("python", PYTHON, "app/views.py", ".", None),
-    ("go", GO, "main.go", "github.com/user/project/internal/auth", "internal/auth/auth.go"), ("go", GO, "main.go", "fmt", None),
-    ("rust", RUST, "src/main.rs", "crate::auth", "src/auth.rs"), ("rust", RUST, "src/main.rs", "crate::db", "src/db/mod.rs"), ("rust", RUST, "src/main.rs", "serde::Serialize", None), ("rust", RUST, "src/main.rs", "self::lib", "src/lib.rs"),
-    ("java", JAVA, "App.java", "com.example.User", "src/main/java/com/example/User.java"), ("java", JAVA, "App.java", "java.util.List", None),
-    ("csharp", CS, "Program.cs", "Models", "Models/User.cs"), ("csharp", CS, "Foo.cs", "Bit.Core.AdminConsole.Entities", "src/Core/AdminConsole/Entities/Organization.cs"),
-    ("php", PHP, "app/index.php", "../src/Helpers.php", "src/Helpers.php"), ("php", PHP, "app/index.php", "App\\Models\\User", "app/Models/User.php"), ("php", PHP, "app/index.php", "Illuminate\\Support\\DB", None),
-    ("ruby", RUBY, "lib/main.rb", "./utils", "lib/utils.rb"), ("ruby", RUBY, "app/main.rb", "utils", "lib/utils.rb"),
+    ("typescript", SCRIPT, "src/start.ts", "./words", "src/words.ts"), ("typescript", SCRIPT, "src/start.ts", "./sizes.ts", "src/sizes.ts"), ("typescript", SCRIPT, "src/start.ts", "./box", "src/box/index.ts"),
+    ("typescript", SCRIPT, "src/box/index.ts", "./lid", "src/box/lid.ts"), ("typescript", SCRIPT, "src/box/lid.ts", "../sizes", "src/sizes.ts"), ("typescript", SCRIPT, "src/start.ts", "react", None),
+    ("typescript", SCRIPT, "src/start.ts", "./absent", None), ("tsx", SCRIPT, "src/start.ts", "./ui/Panel", "src/ui/Panel.tsx"), ("typescript", SCRIPT, "x/y.ts", "@/words", "src/words.ts"),
+    ("python", PYTHON, "store/desk.py", ".goods", "store/goods.py"), ("python", PYTHON, "test.py", "store.goods", "store/goods.py"), ("python", PYTHON, "test.py", "store.tools", "store/tools/__init__.py"),
+    ("python", PYTHON, "store/desk.py", "os", None), ("python", PYTHON, "t.py", "motor.gear", "src/motor/gear.py"), ("python", PYTHON, "store/tools/saw.py", "..goods", "store/goods.py"), ("python", PYTHON, "store/desk.py", ".", None),
+    ("go", GO, "main.go", "example.org/yard/inner/gate", "inner/gate/a_key.go"), ("go", GO, "main.go", "fmt", None),
+    ("rust", RUST, "src/main.rs", "crate::gate", "src/gate.rs"), ("rust", RUST, "src/main.rs", "crate::vault", "src/vault/mod.rs"), ("rust", RUST, "src/main.rs", "serde::Serialize", None), ("rust", RUST, "src/main.rs", "self::lib", "src/lib.rs"),
+    ("java", JAVA, "App.java", "org.yard.Crate", "src/main/java/org/yard/Crate.java"), ("java", JAVA, "App.java", "java.util.List", None),
+    ("csharp", CS, "Program.cs", "Shapes", "Shapes/Crate.cs"), ("csharp", CS, "Foo.cs", "Big.Yard.Dock.Things", "src/Yard/Dock/Things/Crane.cs"),
+    ("php", PHP, "app/index.php", "../src/Tools.php", "src/Tools.php"), ("php", PHP, "app/index.php", "App\\Goods\\Crate", "app/Goods/Crate.php"), ("php", PHP, "app/index.php", "Illuminate\\Support\\DB", None),
+    ("ruby", RUBY, "lib/main.rb", "./knots", "lib/knots.rb"), ("ruby", RUBY, "app/main.rb", "knots", "lib/knots.rb"),
 ]
 
 
