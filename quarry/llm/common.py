@@ -68,8 +68,15 @@ def memo(name: str, make: Callable[[], object]) -> object:
 
 
 def forget() -> None:
-    """Drop what another operator has left in this worker."""
+    """Drop what another operator has left in this worker, and give its memory back to the system."""
+    import ctypes
+    import gc
+
     memo("", lambda: None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc keeps freed pages otherwise
+        libc.malloc_trim(0)
 
 
 def ascii_lower(text: Column) -> Column:

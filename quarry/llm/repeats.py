@@ -50,7 +50,7 @@ LEVEL = "part int, key binary, doc_id long, packed long, level int, kind int"  #
 NAMES = [f.split()[0] for f in ENTRIES.split(", ")]
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 SPANS = "doc_id long, start long, n long, src long, src_start long"
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 
 
 def binaries(rows: np.ndarray) -> pa.Array:
@@ -74,9 +74,13 @@ def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def keys(data: np.ndarray, at: np.ndarray, reach: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The suffix at `at`, `reach` bytes of it at most and zeros behind, and the digest of start..end."""
-    steps = np.arange(DEPTH)
-    suffix = data[np.minimum(at[:, None] + steps, len(data) - 1)] * (steps < reach[:, None])
-    return np.concatenate([suffix.astype(np.uint8), digests(data, start, end)], axis=1)
+    out = np.empty((len(at), WIDTH), np.uint8)
+    padded = np.concatenate([data, np.zeros(DEPTH, np.uint8)])
+    out[:, :DEPTH] = np.lib.stride_tricks.sliding_window_view(padded, DEPTH)[at]
+    short = np.flatnonzero(reach < DEPTH)
+    out[short, :DEPTH] *= np.arange(DEPTH) < reach[short, None]
+    out[:, DEPTH:] = digests(data, start, end)
+    return out
 
 
 def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -88,9 +92,13 @@ def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
     np.multiply.accumulate(up, out=up)
     np.multiply.accumulate(down, out=down)
     up *= byte_table(1)[data]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(up, out=sums[1:])
-    return mix((sums[k:] - sums[: n + 1 - k]) * down[: n + 1 - k]) if n > k else mix(sums[k:])
+    np.cumsum(up, out=up)
+    out = up[k - 1 :].copy()
+    out[1:] -= up[: n - k]
+    del up
+    out *= down[: n + 1 - k]
+    del down
+    return mix(out)
 
 
 def sample(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -353,7 +361,7 @@ class RepeatIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forget()
-            for batch in text_batches(batches, 4 << 20):
+            for batch in text_batches(batches, 1 << 20):  # some 50 bytes of memory a byte while it is sampled
                 for doc, packed, key in make(batch):
                     yield from emit(batch.column("doc_id").to_numpy()[doc], packed, key, place, parts)
 
@@ -428,9 +436,9 @@ class RepeatIndex:
             flat = runs.flatten().to_numpy()
             fits = offsets[of] + (flat >> 16) + (flat & 255) + length <= offsets[of + 1]  # not so only in another text of one id
             of, flat = of[fits], flat[fits]
-            for i in range(0, len(of), 20_000):  # runs at a time
-                at, start, more, key = split(data, offsets[of[i : i + 20_000]], flat[i : i + 20_000], length)
-                doc = of[i : i + 20_000][at]
+            for i in range(0, len(of), 4000):  # runs at a time, of up to 77 windows each
+                at, start, more, key = split(data, offsets[of[i : i + 4000]], flat[i : i + 4000], length)
+                doc = of[i : i + 4000][at]
                 yield doc, pack(start - offsets[doc], np.zeros(len(start), np.int64), more), key
 
         texts = only(docs, id_filter(near.select("doc_id"))).join(per_doc, "doc_id").select("doc_id", "text", "runs")
