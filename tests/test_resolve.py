@@ -1,8 +1,12 @@
 """One file set a language; expected paths by reading the rules."""
 
+import posixpath
+import random
+import re
+
 import pytest
 
-from quarry import schemas
+from quarry import catalog, schemas
 from quarry.operators.resolve import resolve
 
 SCRIPT = ["src/words.ts", "src/sizes.ts", "src/box/lid.ts", "src/box/index.ts", "src/ui/Panel.tsx"]
@@ -36,3 +40,31 @@ def test_resolution(spark, files):
     out = resolve(spark.createDataFrame(rows, schemas.IMPORTS), spark.createDataFrame([(f,) for f in files], "relative_path string"))
     got = {r.line: (r.resolved_path, r.is_external) for r in out.collect()}
     assert got == {i: (want, want is None) for i, (_, _, _, _, want) in enumerate(cases)}
+
+
+def test_script_endings_and_folders_in_order(spark):
+    """Every import of a random tree against the candidates in their order, one path at a time."""
+    rng, ends = random.Random(4), [".ts", ".tsx", ".js", ".jsx", ".astro"]
+    names = [f"{d}{n}" for d in ("", "a/", "a/b/", "src/") for n in ("m", "m.x", "m.ts", "m/index", "m.js/index", "b/index", "index")]
+    files = sorted({n + e for n in names for e in [*ends, ".css"] if rng.random() < 0.3})
+    sources = [f"{d}{n}{e}" for d in ("./", "../", "@/", "./b/", "") for n in ("m", "m.x", "b", "index") for e in ("", ".ts", ".js", ".astro", ".css")]
+    asked = [(f, s) for f in ("x.ts", "a/x.ts", "a/b/x.ts") for s in sources]
+
+    def naive(file, source):
+        if not source.startswith((".", "@/")):
+            return None
+        base = f"src/{source[2:]}" if source.startswith("@/") else "/".join(p for p in posixpath.normpath(posixpath.join(posixpath.dirname(file), source)).split("/") if p != ".")
+        cut = re.sub(r"\.(ts|tsx|js|jsx)\Z", "", base)
+        return next((c for c in [base, *(cut + e for e in ends), *(f"{b}/index{e}" for b in (cut, base) for e in ends)] if c in files), None)
+
+    rows = [(s, None, f, i, True, "typescript", i) for i, (f, s) in enumerate(asked)]
+    got = resolve(spark.createDataFrame(rows, schemas.IMPORTS), spark.createDataFrame([(f,) for f in files], "relative_path string"))
+    want = {i: naive(*a) for i, a in enumerate(asked)}
+    assert {r.line: r.resolved_path for r in got.collect()} == want and len(set(want.values())) > 15
+
+
+@pytest.mark.parametrize("group", ["scripts", "csharp", "jvm"])
+def test_no_keys_through_the_driver(spark, sf, group):
+    """Spark's estimate of the exploded keys of a small table is far below the limit of a broadcast, whatever they are."""
+    plan = catalog.QUERIES[f"resolve_{group}"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
