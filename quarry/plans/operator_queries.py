@@ -362,7 +362,7 @@ def index_lookup(spark, sf):
 SELECT path AS node, CAST(min(hop) AS INTEGER) AS hop FROM r GROUP BY path HAVING min(hop) > 0""")
 def index_blast(spark, sf):
     ix = customers(spark, sf)
-    start = graph.degrees(ix.edges).orderBy(F.desc("imported_by"), "node").first()  # one row
+    start = graph.degrees(ix.kept_edges).orderBy(F.desc("imported_by"), "node").first()  # one row
     return ix.blast(start.node if start else "")["files"]
 
 

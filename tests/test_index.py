@@ -225,3 +225,13 @@ def test_reports(spark):
     assert "imported by" in out["graph.md"] and "react: 1 files" in out["graph.md"] and "django" in out["schema.md"] and "/a" in out["routes.md"]
     empty = write_all({"a.ts": ""})
     assert [k for k, v in empty.items() if v is None] == ["exports.md", "types.md", "routes.md", "schema.md", "graph.md"]
+
+
+def test_blast_resolves_imports_once(spark, sf, monkeypatch):
+    """The start, and each hop, read edges that are cut, and do not resolve every import again."""
+    from quarry.plans import operator_queries
+
+    calls, resolve = [], index.resolve
+    monkeypatch.setattr(index, "resolve", lambda *a: calls.append(a) or resolve(*a))
+    found = operator_queries.index_blast(spark, sf)
+    assert len(calls) == 1 and found.where("hop = 1").count() > 0
