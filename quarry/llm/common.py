@@ -129,10 +129,15 @@ def id_slot(column: str, bits: int = 1 << 22) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(bits)) + 1
 
 
-def id_filter(ids: DataFrame, bits: int = 1 << 22) -> bytes:
+def low_slot(column: str, bits: int = 1 << 22) -> Column:
+    """A bit that Python can tell too: np.mod(id, bits) + 1."""
+    return F.pmod(F.col(column), F.lit(bits)) + 1
+
+
+def id_filter(ids: DataFrame, bits: int = 1 << 22, slot: Callable[[str, int], Column] = id_slot) -> bytes:
     """A bitmap of `bits` bits over the hashes of the one column of `ids`. Its size does not depend on the data;
     a filter too full lets rows pass that a join then drops."""
-    slots = ids.select(id_slot(ids.columns[0], bits).alias("s"))
+    slots = ids.select(slot(ids.columns[0], bits).alias("s"))
     rows = slots.groupBy(F.bitmap_bucket_number("s").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b")).collect()
     out = np.zeros(bits // 8, np.uint8)
     for n, b in rows:  # bits / 32768 rows at most

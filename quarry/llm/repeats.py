@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_table, forget, id_filter, id_slot, mix, passes, remove, strings, text_batches, work_dir
+from .common import byte_table, forget, id_filter, id_slot, low_slot, mix, passes, remove, strings, text_batches, work_dir
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 DEPTH, DIGEST = 32, 8
@@ -392,8 +392,12 @@ class RepeatIndex:
     def spans(self, docs: DataFrame) -> DataFrame:
         """SPANS, the copies of n bytes found in the batches so far, each with a source; docs are their rows.
 
-        Candidates are compared in blocks of windows first, and window by window where blocks differ in part."""
+        Candidates are compared in blocks of windows first, and window by window where blocks differ in part. Of a
+        document's spans those stay that cover the same bytes, else a text of a short period has one for each period. Where
+        document or source is of an id with several rows each copy is a span of its own, because it may be of one of their
+        texts only."""
         length = self.length
+        shared = id_filter(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), slot=low_slot)
         found, near = (self._union(self.steps, kind) for kind in (MARK, CANDIDATE))
         for name, split in (("blocks", blocks), ("windows", single)):
             path = f"{self.folder}/{name}"
@@ -408,7 +412,12 @@ class RepeatIndex:
                 marks = batch.column("marks")
                 of = np.repeat(np.arange(batch.num_rows), np.diff(marks.offsets.to_numpy()))
                 packed, key = marks.flatten().flatten()
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in join_runs(batch.column("doc_id").to_numpy(), of, packed.to_numpy(), matrix(key, 16).view("<i8"), length)], names=names)
+                doc_id, packed, source = batch.column("doc_id").to_numpy(), packed.to_numpy(), matrix(key, 16).view("<i8")
+                apart = np.logical_or(*(passes(shared, pa.array(np.mod(x, 8 * len(shared)) + 1)) for x in (doc_id[of], source[:, 0])))
+                found = join_runs(doc_id, of[~apart], packed[~apart], source[~apart], length)
+                keep = cover(*found[:3])
+                own = (doc_id[of[apart]], packed[apart] >> 16, (packed[apart] & 255) + length, source[apart, 0], source[apart, 1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[keep], y])) for x, y in zip(found, own, strict=True)], names=names)
 
         return runs.mapInArrow(run, SPANS)
 
@@ -469,6 +478,28 @@ def join_runs(doc_id: np.ndarray, of: np.ndarray, packed: np.ndarray, source: np
     return doc_id[of[a]], start[a], reach[b] - start[a], src[a], start[a] - shift[a]
 
 
+def cover(doc_id: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which spans stay, so that fewest of a document cover the bytes that all of them do: of those that begin in or
+    right behind what is covered, the one that reaches farthest."""
+    end = start + n
+    order = np.lexsort((start, doc_id))
+    keep = np.zeros(len(order), bool)
+    doc, reach, best, far = None, 0, -1, 0
+    for i, d, a, b in zip(order.tolist(), doc_id[order].tolist(), start[order].tolist(), end[order].tolist(), strict=True):
+        if d != doc or a > reach:
+            if far > reach:
+                keep[best] = True
+            if d != doc or a > far:
+                doc, reach, far = d, a, a
+            else:
+                reach = far
+        if b > far:
+            best, far = i, b
+    if far > reach:
+        keep[best] = True
+    return keep
+
+
 def spread(low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, value): low[i], low[i] + 1 .. of counts[i] values each."""
     at = np.repeat(np.arange(len(low)), counts)

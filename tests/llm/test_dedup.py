@@ -194,3 +194,35 @@ def test_near_duplicates_of_repeated_null_and_no_rows(spark):
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_duplicates(frame(spark, rows)).collect())
     assert [g[:2] for g in got if g[0] > 0] == [(2, 2), (2, 2), (7, 2), (9, 9)]
     assert near_duplicates(frame(spark, rows).where("false")).count() == 0
+
+
+def test_cover_keeps_the_same_bytes():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(0, 30))
+        doc, start, size = rng.integers(0, 3, n), rng.integers(0, 60, n), rng.integers(1, 20, n)
+        keep = repeats.cover(doc, start, size)
+
+        def covered(rows, doc=doc, start=start, size=size):
+            return {(doc[i], at) for i in rows for at in range(start[i], start[i] + size[i])}
+
+        left = np.flatnonzero(keep)
+        assert covered(left) == covered(range(n)) and all(covered(left[left != i]) != covered(left) for i in left)
+
+
+def test_short_periods_make_few_spans(spark):
+    """A text of period 5 has a run, and once had a span, for each period; each goes through the join with its source."""
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("abcdef", k=40)) + "qwert" * 600 + str(i), "", "") for i in range(4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    _, _, folder = repeats.repeat_spans(docs, 100, 2)
+    assert spark.read.parquet(f"{folder}/spans").count() < 4 * 45
+    assert {r[0]: tuple(r)[1:] for r in remove_repeats(docs).collect()} == brute_repeats([r[:2] for r in rows])
+
+
+def test_span_of_another_text_of_the_id_hides_none(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choices("abcdefghij", k=450))
+    source, other = text[:300], text[300:400] + text[100:250] + text[400:]
+    docs = spark.createDataFrame([(0, source, "", ""), (5, source, "", ""), (5, other, "", "")], DOCS)
+    assert sorted((r.doc_id, r.n_removed) for r in remove_repeats(docs).collect()) == [(0, 0), (5, 150), (5, 300)]
